@@ -15,7 +15,7 @@ from tessera.llm.common import ship, table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
 #: Never laid out.
-UNSEEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas svg math datalist select map textarea".split())
+UNSEEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas svg math datalist map textarea".split())
 #: Blocks with an empty line around them, and blocks that only begin a line.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset menu".split())
 BLOCK = SPACED | frozenset("html body div section article aside nav header footer main address center form li dt dd tr td th thead tbody tfoot caption figcaption details summary hr legend option optgroup hgroup search dialog".split())

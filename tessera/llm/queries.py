@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = "packing simhash html_text langid toxicity exact_dedup".split()
+MODULES = "packing simhash html_text langid embeddings bpe toxicity exact_dedup token_cache warc".split()
 
 
 def queries() -> dict[str, Callable]:
