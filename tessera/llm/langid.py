@@ -113,10 +113,13 @@ def identify(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen = [histogram(render(t.as_py()) if markup else t.as_py()) for t in b.column(1)]
-            scores = [text_scores(h, model).tolist() for h in seen]
+            scores, sizes = [], []
+            for t in b.column(1):
+                h = histogram(render(t.as_py()) if markup else t.as_py())
+                scores.append(text_scores(h, model).tolist())
+                sizes.append(int(h.sum()))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), b.column(3), b.column(4), b.column(5), pa.array(scores, pa.list_(pa.float64())), pa.array([int(h.sum()) for h in seen], pa.int64())],
+                [b.column(0), b.column(2), b.column(3), b.column(4), b.column(5), pa.array(scores, pa.list_(pa.float64())), pa.array(sizes, pa.int64())],
                 names=["id", "declared", "host", "domain", "suffix", "s", "n"],
             )
 
