@@ -25,8 +25,9 @@ from tessera.llm.common import ship, table
 
 #: Fixed value: the pattern that byte-level vocabularies of this kind split texts by; white space is the Unicode property.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-#: Words whose tokens are remembered; longer words are not; characters of texts in a block.
-CACHE, LONGEST, CHARS = 200_000, 64, 1 << 20
+#: Words whose tokens are remembered (at most two such sets and a block's words); bytes of words
+#: that are merged without a heap; characters of texts in a block.
+CACHE, SHORT, CHARS = 200_000, 64, 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -54,13 +55,19 @@ class Bpe:
         for r, m in enumerate(model["merges"]):
             a, b = (bytes(letters[c] for c in x) for x in (m if isinstance(m, list) else m.split(" ")))
             self.rank[vocab[a], vocab[b]] = (r, vocab[a + b])
-        self.reach: dict[bytes, int] = {}  # length of the longest token by its first two bytes
+        sizes: dict[bytes, set[int]] = {}  # lengths that tokens have, by their first three bytes
         for t in vocab:
-            self.reach[t[:2]] = max(len(t), self.reach.get(t[:2], 1))
+            sizes.setdefault(t[:3], set()).add(len(t))
+        for k in sizes:
+            for short in (k[:1], k[:2]):
+                if short in vocab:
+                    sizes[k].add(len(short))
+        self.sizes = {k: tuple(sorted(v, reverse=True)) for k, v in sizes.items()}
         self.own: dict[int, bool] = {}
         self.codes = np.empty(0, np.int64)
         self.fits = np.empty(0, bool)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.failed = self.proposed = 0
         self.words = regex.compile(PATTERN)
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
@@ -68,6 +75,8 @@ class Bpe:
     def merge(self, data: bytes) -> list[int]:
         """The exact encoding: merges by rank, the leftmost first."""
         ids, n = [self.single[b] for b in data], len(data)
+        if n <= SHORT:
+            return self._merge_short(ids)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(*self.rank[p], i, p) for i in range(n - 1) if (p := (ids[i], ids[i + 1])) in self.rank]
         heap = [(r, i, m, p) for r, m, i, p in heap]
@@ -86,17 +95,33 @@ class Bpe:
                     heapq.heappush(heap, (self.rank[p][0], a, self.rank[p][1], p))
         return [i for i in ids if i >= 0]
 
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        """For few bytes it takes less time to look through all pairs again than to keep a heap."""
+        get, none = self.rank.get, (1 << 60, 0)
+        found = [get(p, none) for p in zip(ids, ids[1:])]
+        while found:
+            best = min(found)
+            if best is none:
+                return ids
+            i = found.index(best)
+            ids[i : i + 2] = [best[1]]
+            del found[i]
+            if i:
+                found[i - 1] = get((ids[i - 1], ids[i]), none)
+            if i < len(found):
+                found[i] = get((ids[i], ids[i + 1]), none)
+        return ids
+
     def propose(self, data: bytes) -> list[int]:
-        out, at, n, vocab = [], 0, len(data), self.vocab
+        """The longest tokens from left to right, of those that are the encoding of their own bytes."""
+        out, at, n, vocab, sizes, own = [], 0, len(data), self.vocab, self.sizes, self.own
         while at < n:
-            for size in range(min(n - at, self.reach.get(data[at : at + 2], 1)), 0, -1):
-                t = vocab.get(data[at : at + size])
-                if t is not None and (size < 3 or self._own(t)):
+            for size in sizes.get(data[at : at + 3]) or sizes.get(data[at : at + 2]) or ():
+                t = vocab.get(data[at : at + size]) if at + size <= n else None
+                if t is not None and (own[t] if t in own else self._own(t)):
                     break
             else:
                 t, size = self.single[data[at]], 1
-            if size == 2 and not self._own(t):
-                t, size = self.single[data[at]], 1
             out.append(t)
             at += size
         return out
@@ -110,7 +135,9 @@ class Bpe:
 
     def _compatible(self, codes: np.ndarray) -> np.ndarray:
         """Whether each pair (a << 20 | b) is the encoding of its bytes."""
-        new = np.setdiff1d(codes, self.codes)
+        new = np.unique(codes)
+        if len(self.codes):
+            new = new[self.codes[np.minimum(np.searchsorted(self.codes, new), len(self.codes) - 1)] != new]
         if len(new):
             good = np.fromiter((self.merge(self.token[c >> 20] + self.token[c & 0xFFFFF]) == [c >> 20, c & 0xFFFFF] for c in new.tolist()), bool, len(new))
             at = np.searchsorted(self.codes, new)
@@ -132,17 +159,19 @@ class Bpe:
 
     def encode_blocks(self, texts: list[str]) -> Iterator[tuple[int, bytes]]:
         """(which text, some of its ids) in order; a very long text comes in several parts."""
-        known = self.known
         pending: list[tuple[int, list[str] | bytes]] = []
         held = 0
 
         def flush() -> Iterator[tuple[int, bytes]]:
-            new = {w for _, part in pending if isinstance(part, list) for w in part} - known.keys()
-            if len(known) + len(new) > CACHE:
-                for w in [w for _, part in pending if isinstance(part, list) for w in part if w in known]:
-                    new.add(w)
-                known.clear()
-            fresh = list(new)
+            if len(self.known) > CACHE:  # words that are met again come over from the older ones
+                self.older, self.known = self.known, {}
+            known = self.known
+            fresh = []
+            for w in {w for _, part in pending if isinstance(part, list) for w in part} - known.keys():
+                if (ids := self.older.get(w)) is None:
+                    fresh.append(w)
+                else:
+                    known[w] = ids
             known.update(zip(fresh, self.encode_words(fresh), strict=True))
             for i, part in pending:
                 yield i, b"".join(map(known.__getitem__, part)) if isinstance(part, list) else part
