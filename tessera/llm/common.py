@@ -79,3 +79,21 @@ def without_rows(rows: DataFrame, drop: DataFrame, key: str = "__key") -> DataFr
     if drop.count() <= MAX_BROADCAST_KEYS:
         drop = F.broadcast(drop)
     return rows.join(drop, key, "left_anti").drop(key)
+
+
+#: A key with more than this part of all rows is hot; so fewer keys than this can be, 100 bytes each.
+HOT_SHARES = 10_000
+
+
+def with_labels(rows: DataFrame, labels: DataFrame, key: str, copies: str) -> DataFrame:
+    """``rows`` joined with the one label row of their key, however many rows a key holds.
+
+    ``copies`` is the column of ``labels`` that tells how many rows have the key. Keys with more than
+    1 / HOT_SHARES of all rows are fewer than HOT_SHARES: their labels are broadcast, and their rows
+    stay where they are. The others meet by a shuffle. Both tables are read twice, so they should be
+    written ones. Rows without a label go, as in any inner join.
+    """
+    hot = F.col(copies) * HOT_SHARES > rows.count()
+    few, rest = F.broadcast(labels.where(hot).drop(copies)), labels.where(~hot).drop(copies)
+    cold = rows.join(F.broadcast(labels.where(hot).select(key)), key, "left_anti")
+    return rows.join(few, key).unionByName(cold.join(rest, key))

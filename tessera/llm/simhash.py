@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ship, written
+from tessera.llm.common import ship, with_labels, written
 from tessera.llm.components import connected_components
 
 SEGMENTS = 4
@@ -168,6 +168,7 @@ def simhash_clusters(
 
     Equal fingerprints are first reduced to one row, so a group of copies of any size is one
     point; a key holds only distinct fingerprints that agree in 31 or more of its 32 bits.
+    Labels of fingerprints with many copies are broadcast, see ``with_labels``.
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("the segments are laid out for 3 differing bits at most")
@@ -180,7 +181,7 @@ def simhash_clusters(
         .mapInArrow(_fingerprints(width), f"id {kind}{given}, fp bigint"),
         "fingerprints",
     )
-    points = rows.groupBy("fp").agg(F.min("id").alias("first_id"))
+    points = written(rows.groupBy("fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "points")
     links = (
         points.select("fp").mapInArrow(_keys, "key bigint, fp bigint")
         .repartition("key").sortWithinPartitions("key", "fp")
@@ -190,8 +191,8 @@ def simhash_clusters(
     found = roots.join(points, roots["node"] == points["fp"]).select("root", "fp", "first_id")
     least = found.groupBy("root").agg(F.min("first_id").alias("least_id"))
     of = roots.join(least, "root").select(F.col("node").alias("fp"), "least_id")
-    points = points.join(of, "fp", "left").select(F.col("fp").alias("p"), F.coalesce("least_id", "first_id").alias("component_id"))
-    return rows.join(points, F.col("fp") == F.col("p")).select(
+    labels = written(points.join(of, "fp", "left").select("fp", "copies", F.coalesce("least_id", "first_id").alias("component_id")), "labels")
+    return with_labels(rows, labels, "fp", "copies").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
         *[F.col(n).alias(c) for n, c in more.items()],
     )

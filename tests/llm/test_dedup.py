@@ -136,3 +136,14 @@ def test_a_hot_group_of_copies(spark):
     assert exact_dedup(docs).count() == 2001
     one = simhash_clusters(docs).where("component_id = 0").count()
     assert one >= 1000
+
+
+def test_labels_reach_hot_and_rare_keys(spark):
+    from tessera.llm.common import with_labels
+
+    rows = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 20_000).alias("fp"), F.lit("x").alias("extra"))
+    labels = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("copies")).withColumn("label", F.col("fp") * 2)
+    got = with_labels(rows, labels, "fp", "copies")
+    assert got.columns == ["fp", "id", "extra", "label"]
+    assert got.where("label = fp * 2").count() == 30_000 == got.select("id").distinct().count()
+    assert with_labels(rows.limit(0), labels.limit(0), "fp", "copies").count() == 0
