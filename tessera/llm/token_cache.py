@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import scratch, ship, table, written
+from tessera.llm.common import scratch, ship, table, with_labels, written
 
 SCHEMA = "content string, tokenizer string, n_tokens long"
 #: Characters of texts that are encoded in one call.
@@ -94,7 +94,9 @@ def count_tokens(docs: DataFrame, path: str, cache: str, id_col: str = "doc_id",
         .select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     )
     counts = spark.read.schema(SCHEMA).parquet(cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    return rows.join(counts, "content").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    copies = rows.groupBy("content").agg(F.count(F.lit(1)).alias("copies"))
+    labels = written(copies.join(counts, "content"), "counts")
+    return with_labels(rows, labels, "content", "copies").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
