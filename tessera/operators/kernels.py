@@ -1,4 +1,4 @@
-"""Kernels of the applications: neighbour joins, blocked products, trees."""
+"""Kernels of the applications: neighbour joins, blocked products, trees, LU factors."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import uts_child, uts_has_children
+from tessera.operators.graph import settled
 
 #: Half of the 26 neighbours of a cell, so that each pair of cells meets once.
 HALF = [(dx, dy, dz) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1) if (dx, dy, dz) > (0, 0, 0)]
@@ -46,3 +47,39 @@ def tree_levels(roots: DataFrame, width: int, q: float, depth: int) -> DataFrame
         level = level.where(uts_has_children(F.col("node"), q)).withColumn("k", children).select(uts_child(F.col("node"), F.col("k")).alias("node"), F.lit(d).alias("depth"))
         levels.append(level)
     return reduce(DataFrame.union, levels)
+
+
+class SingularMatrix(ArithmeticError):
+    """No row that is left has a number other than zero in the pivot's column."""
+
+
+def lu(rows: DataFrame, n: int, every: int = 8) -> DataFrame:
+    """(id, rank, v): LU with partial pivoting of an n x n matrix given in rows (id, v array of doubles).
+
+    Row ``id`` comes to place ``rank``; v holds the multipliers below the diagonal (which are 1 on it)
+    and the upper triangle from it on. Of rows with equally large pivots that with the least id is taken.
+    Each of the n steps brings one row, the pivot's, to the driver: n doubles. All others stay where they
+    are, so a step is one pass over the rows without a shuffle. Every ``every`` steps they are written.
+    """
+    state = rows.select("id", F.col("v").cast("array<double>").alias("v"), F.lit(None).cast("int").alias("rank"))
+    for k in range(n):
+        here = F.col("v")[k]
+        best = state.where("rank IS NULL").agg(F.max_by(F.struct("id", "v"), F.struct(F.abs(here), -F.col("id"))).alias("p")).first()["p"]
+        if best is None or not best["v"][k]:
+            raise SingularMatrix(f"column {k}")
+        pivot = F.array(*map(F.lit, best["v"]))
+        factor = here / F.lit(best["v"][k])
+        step = F.transform("v", lambda x, i: F.when(i < k, x).when(i == k, factor).otherwise(x - factor * F.get(pivot, i)))  # noqa: B023
+        lower = F.col("rank").isNull() & (F.col("id") != best["id"])
+        state = state.select("id", F.when(lower, step).otherwise(F.col("v")).alias("v"), F.when(F.col("id") == best["id"], k).otherwise(F.col("rank")).alias("rank"))
+        if (k + 1) % every == 0:
+            state = settled(state)
+    return state.select("id", "rank", "v")
+
+
+def lu_product(factors: DataFrame) -> DataFrame:
+    """(i, j, v): the matrix whose rows ``lu`` divided, row numbers as before."""
+    cells = factors.select("id", "rank", F.posexplode("v").alias("k", "x"))
+    left = cells.where("k < rank").select("id", "k", "x").union(factors.select("id", F.col("rank"), F.lit(1.0)))
+    right = cells.where("k >= rank").select(F.col("rank").alias("k"), F.col("k").alias("j"), F.col("x").alias("y"))
+    return left.join(right, "k").groupBy(F.col("id").alias("i"), "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))

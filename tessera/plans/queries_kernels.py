@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
-from tessera.operators.kernels import block_multiply, neighbours, tree_levels
+from tessera.operators.kernels import block_multiply, lu, lu_product, neighbours, tree_levels
 from tessera.registry import query
 
 
@@ -210,3 +210,13 @@ def triangle_quality(t, spark):
     zero = F.lit(0.0)
     alpha = S.triangle_angles(zero, zero, F.col("c"), zero, x, y)[0]
     return d.select("id", alpha.alias("t")).select("id", F.round("t", 4).alias("alpha"), (F.col("t") > 90.1).alias("obtuse"), (F.col("t") < 30).alias("bad"))
+
+
+@query("""SELECT i, CAST(j AS INTEGER) AS j, count(l_orderkey) + CASE WHEN i = j THEN 1 ELSE 0 END::DOUBLE AS v FROM (SELECT i, j FROM range(8) a(i), range(8) b(j))
+LEFT JOIN lineitem ON l_suppkey % 8 = i AND l_partkey % 8 = j GROUP BY i, j""")
+def lu_round_trip(t, spark):
+    """Lines by supplier and part, each modulo 8, and 1 on the diagonal: divided into LU and multiplied again."""
+    counts = t("lineitem").groupBy((F.col("l_suppkey") % 8).alias("id"), (F.col("l_partkey") % 8).alias("j")).agg(F.count(F.lit(1)).alias("n"))
+    cells = [F.coalesce(F.max(F.when(F.col("j") == j, F.col("n"))), F.lit(0)) + (F.col("id") == j).cast("int") for j in range(8)]
+    rows = spark.range(8).join(counts, "id", "left").groupBy("id").agg(F.array(*cells).alias("v"))
+    return lu_product(lu(rows, 8)).withColumn("v", F.round("v", 6))
