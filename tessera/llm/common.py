@@ -85,8 +85,8 @@ def without_rows(rows: DataFrame, drop: DataFrame, key: str = "__key") -> DataFr
 HOT_SHARES = 10_000
 
 
-def with_labels(rows: DataFrame, labels: DataFrame, key: str, copies: str) -> DataFrame:
-    """``rows`` joined with the one label row of their key, however many rows a key holds.
+def with_labels(rows: DataFrame, labels: DataFrame, key: str | list[str], copies: str) -> DataFrame:
+    """``rows`` joined with the one label row of their key (a column or several, never null), however many rows a key holds.
 
     ``copies`` is the column of ``labels`` that tells how many rows have the key. Keys with more than
     1 / HOT_SHARES of all rows are fewer than HOT_SHARES: their labels are broadcast, and their rows

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ship, table, written
+from tessera.llm.common import ship, table, with_labels, written
 from tessera.llm.html_text import render
 
 BUCKETS = 1 << 14
@@ -137,12 +137,12 @@ def identify(
     # What the text alone says, as shares; texts without a trigram say nothing.
     top = F.array_max("s")
     mass = F.aggregate("s", F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    shares = scored.where("n > 0").select("declared", "host", "domain", "suffix", *[(F.exp(F.col("s")[i] - top) / mass).alias(f"p{i}") for i in k])
+    shares = scored.select("n", "declared", "host", "domain", "suffix", *[F.when(F.col("n") > 0, F.exp(F.col("s")[i] - top) / mass).otherwise(0.0).alias(f"p{i}") for i in k])
     sums = [F.sum(f"p{i}").alias(f"p{i}") for i in k]
     total = shares.agg(*sums).first()
     prior = [(float(total[i] or 0) + 1) / (sum(float(x or 0) for x in total) + len(langs)) for i in k]
     # One row for each host: its own shares over its domain's over all, and its suffix's odds.
-    by_host = shares.groupBy("host", "domain", "suffix").agg(*sums)
+    by_host = written(shares.groupBy("host", "domain", "suffix").agg(*sums, F.count(F.lit(1)).alias("copies")), "hosts")
     by_domain = by_host.groupBy("domain").agg(*[F.sum(f"p{i}").alias(f"d{i}") for i in k])
     by_suffix = by_host.groupBy("suffix").agg(*[F.sum(f"p{i}").alias(f"x{i}") for i in k])
     dn, hn, xn = (sum((F.col(f"{c}{i}") for i in k), F.lit(0.0)) for c in "dpx")
@@ -154,19 +154,18 @@ def identify(
         in_general = (xn + 1) / (every + 1)
         of_suffix = (F.col(f"x{i}") + KAPPA * in_general) / (float(total[i] or 0) + KAPPA)
         parts.append(F.log(of_host) + F.when(F.col("suffix") == "", F.lit(0.0)).otherwise(F.log(of_suffix)))
-    hosts = by_host.join(by_domain, "domain").join(by_suffix, "suffix").select(
-        F.col("host").alias("h"), F.col("domain").alias("hd"), F.col("suffix").alias("hs"), F.array(*parts).alias("e"))
+    default = F.array(*[F.lit(math.log(p)) for p in prior])
+    hosts = written(by_host.join(by_domain, "domain").join(by_suffix, "suffix").select(
+        "host", "domain", "suffix", "copies", F.when(hn > 0, F.array(*parts)).otherwise(default).alias("e")), "host-evidence")
     # P(declared | l): how often texts of l are declared so; known languages only.
-    told = shares.where(F.col("declared").isin([x.lower() for x in langs])).groupBy("declared").agg(*sums).collect()  # a row for each language
+    told = shares.where("n > 0").where(F.col("declared").isin([x.lower() for x in langs])).groupBy("declared").agg(*sums).collect()  # a row for each language
     table_ = {r["declared"]: [float(r[f"p{i}"]) for i in k] for r in told}
     sure = [sum(v[i] for v in table_.values()) for i in k]
     odds = {d: [math.log((v[i] + KAPPA * (0.8 if langs[i].lower() == d else 0.2 / len(langs))) / (sure[i] + KAPPA)) for i in k] for d, v in table_.items()}
     says = F.array(*[F.lit(0.0) for _ in k])
     for d, v in odds.items():
         says = F.when(F.col("declared") == d, F.array(*[F.lit(x) for x in v])).otherwise(says)
-    own = (F.col("host") == F.col("h")) & (F.col("domain") == F.col("hd")) & (F.col("suffix") == F.col("hs"))
-    default = F.array(*[F.lit(math.log(p)) for p in prior])
-    fused = scored.join(hosts, own, "left").withColumn("says", says).withColumn("e", F.coalesce("e", default))
+    fused = with_labels(scored, hosts, ["host", "domain", "suffix"], "copies").withColumn("says", says)
     fused = fused.withColumn("f", F.array(*[F.col("s")[i] + F.col("says")[i] + F.col("e")[i] for i in k]))
     best = F.array_max("f")
     fused = fused.withColumn("best", best).withColumn("confidence", 1 / F.aggregate("f", F.lit(0.0), lambda a, x: a + F.exp(x - best)))
