@@ -7,16 +7,23 @@ and the second differs in one bit at most. A fingerprint is filed under the 32 b
 such pair of segments as they are, and with each set bit of the second one cleared: the two
 partners of a chain always meet under one of these keys. Rows that meet are tested against
 the budgets of the longer chains and then by the whole Hamming distance.
+
+Comparing all that meet under a key costs the square of their number, so a key with more than
+MOST fingerprints (a very large group of near copies) is left to another exact way, whose cost
+grows with their number alone: each of its fingerprints is filed under all values that differ
+from it in two bits at most. Those that lie within one bit of a value are linked with all that
+lie within two bits of it, and two fingerprints that differ in three bits meet so at some value.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import ship, with_labels, written
@@ -26,6 +33,8 @@ SEGMENTS = 4
 BITS = 16
 #: Shingles whose bits are counted at a time, so that a very long text needs bounded memory.
 BLOCK = 1 << 15
+#: Fingerprints that are compared under one key; keys with more of them that are taken out before the shuffle.
+MOST, LARGEST_KEYS = 1 << 14, 10_000
 
 
 def fingerprint(text: bytes | None, width: int) -> int:
@@ -129,32 +138,108 @@ def _within(key: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.
     return fp[child], fp[root[child]]
 
 
-def _links(most: int):
+def _links(bits: int, most: int = MOST):
+    """Links (u, v) of the keys; the fingerprints of a key with more than ``most`` are passed on as (u, null)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
+        key, fp, large = np.empty(0, np.int64), np.empty(0, np.uint64), None
 
         def flush(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
             new = np.ones(len(k), bool)
             new[1:] = (k[1:] != k[:-1]) | (f[1:] != f[:-1])
-            a, b = _within(k[new], f[new], most)
+            a, b = _within(k[new], f[new], bits)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["u", "v"])
 
+        def passed_on(f: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.nulls(len(f), pa.int64())], names=["u", "v"])
+
         for b in batches:
-            key = np.concatenate((key, b.column(0).to_numpy(zero_copy_only=False)))
-            fp = np.concatenate((fp, b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-            if len(key) and key[0] != key[-1]:  # the last key may go on in the next batch
-                cut = int(np.searchsorted(key, key[-1]))
-                yield flush(key[:cut], fp[:cut])
-                key, fp = key[cut:], fp[cut:]
+            k, f = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            if large is not None:  # the rest of a key that has begun to be passed on
+                cut = int(np.searchsorted(k, large, "right"))
+                yield passed_on(f[:cut])
+                k, f = k[cut:], f[cut:]
+                if not len(k):
+                    continue
+                large = None
+            key, fp = np.concatenate((key, k)), np.concatenate((fp, f))
+            if not len(key):
+                continue
+            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+            starts = np.flatnonzero(np.concatenate(([True], key[1:cut] != key[: cut - 1]))) if cut else np.empty(0, int)
+            sizes = np.diff(np.append(starts, cut))
+            over = np.repeat(sizes > most, sizes)
+            if over.any():
+                yield passed_on(fp[:cut][over])
+            if not over.all():
+                yield flush(key[:cut][~over], fp[:cut][~over])
+            key, fp = key[cut:], fp[cut:]
+            if len(key) > most:
+                yield passed_on(fp)
+                large, key, fp = key[-1], np.empty(0, np.int64), np.empty(0, np.uint64)
         if len(key):
             yield flush(key, fp)
 
     return run
 
 
+def _values_near(bits: int):
+    """(value, fp, near) for the values that differ from a fingerprint in at most the larger half of ``bits``; near: the smaller half."""
+    flips = [sum(1 << i for i in c) for n in range(bits - bits // 2 + 1) for c in combinations(range(64), n)]
+    mask, near = np.array(flips, np.uint64), np.array([f.bit_count() <= bits // 2 for f in flips])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            whole = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for at in range(0, len(whole), 32):
+                fp = whole[at : at + 32]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array((fp[:, None] ^ mask).ravel().view(np.int64)), pa.array(np.repeat(fp, len(mask)).view(np.int64)),
+                        pa.array(np.tile(near, len(fp))),
+                    ],
+                    names=["value", "fp", "near"],
+                )
+
+    return run
+
+
+def links_by_values(points: DataFrame, bits: int) -> DataFrame:
+    """(u, v): links that connect all fingerprints (fp) that differ in at most ``bits`` bits, at most 2081 rows for each.
+
+    What meets at a value lies within two bits of it, so no group has more than 2081 rows.
+    """
+    at = Window.partitionBy("value")
+    met = points.select("fp").mapInArrow(_values_near(bits), "value bigint, fp bigint, near boolean")
+    hub = met.withColumn("hub", F.min(F.when(F.col("near"), F.col("fp"))).over(at))
+    return hub.where("hub != fp").select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct()
+
+
+def fingerprint_links(points: DataFrame, bits: int = 3, most: int = MOST, largest_keys: int = LARGEST_KEYS) -> DataFrame:
+    """(u, v): links that connect all of the distinct fingerprints (fp) that differ in at most ``bits`` bits.
+
+    The largest of the keys with over ``most`` fingerprints are taken out before the shuffle,
+    so no task gets them; the others of these are passed on by the task that meets them.
+    """
+    spark = points.sparkSession
+    keys = points.select("fp").mapInArrow(_keys, "key bigint, fp bigint")
+    over = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    over = written(over.orderBy(F.desc("n"), "key").limit(largest_keys).select("key"), "large-keys")
+    cold, hot = keys, spark.createDataFrame([], "fp bigint")
+    if not over.isEmpty():
+        cold = keys.join(F.broadcast(over), "key", "left_anti")
+        hot = keys.join(F.broadcast(over), "key", "left_semi").select("fp")
+    found = written(cold.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links(bits, most), "u bigint, v bigint"), "key-links")
+    links, passed_on = found.where("v IS NOT NULL"), found.where("v IS NULL").select(F.col("u").alias("fp"))
+    if over.isEmpty() and passed_on.isEmpty():
+        return links
+    hot = written(hot.union(passed_on).distinct(), "hot-points")
+    return links.union(links_by_values(hot, bits))
+
+
 def simhash_clusters(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3,
-    carry: list[str] | None = None,
+    carry: list[str] | None = None, most_in_key: int = MOST,
 ) -> DataFrame:
     """(id_col, fingerprint, component_id, the columns in ``carry``), one row for each row of ``docs``.
 
@@ -167,8 +252,8 @@ def simhash_clusters(
     an empty table gives an empty one. Other columns of ``docs`` are not read.
 
     Equal fingerprints are first reduced to one row, so a group of copies of any size is one
-    point; a key holds only distinct fingerprints that agree in 31 or more of its 32 bits.
-    Labels of fingerprints with many copies are broadcast, see ``with_labels``.
+    point; a key holds only distinct fingerprints that agree in 31 or more of its 32 bits, and
+    is compared where it has at most ``most_in_key`` of them; see ``fingerprint_links``. Labels of fingerprints with many copies are broadcast, see ``with_labels``.
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("the segments are laid out for 3 differing bits at most")
@@ -182,12 +267,7 @@ def simhash_clusters(
         "fingerprints",
     )
     points = written(rows.groupBy("fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "points")
-    links = (
-        points.select("fp").mapInArrow(_keys, "key bigint, fp bigint")
-        .repartition("key").sortWithinPartitions("key", "fp")
-        .mapInArrow(_links(max_bits), "u bigint, v bigint")
-    )
-    roots = written(connected_components(links), "roots")
+    roots = written(connected_components(fingerprint_links(points, max_bits, most_in_key)), "roots")
     found = roots.join(points, roots["node"] == points["fp"]).select("root", "fp", "first_id")
     least = found.groupBy("root").agg(F.min("first_id").alias("least_id"))
     of = roots.join(least, "root").select(F.col("node").alias("fp"), "least_id")

@@ -95,6 +95,34 @@ def test_links_in_a_dense_ball_of_fingerprints(spark):
     assert classes(fp, rows) == want
 
 
+@pytest.mark.parametrize(("bits", "most", "largest"), [(3, 10, 10_000), (3, 10, 3), (3, 0, 10_000), (2, 5, 7), (1, 5, 10_000), (0, 0, 1), (3, 1 << 14, 10_000)])
+def test_large_keys_lose_no_link(spark, bits, most, largest):
+    from tessera.llm import simhash
+
+    rng = np.random.default_rng(2)
+    center = [int(c) for c in rng.integers(0, 2**63, 6, dtype=np.uint64)]
+    fp = {c ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for c in center for _ in range(80)} | {0, 1, 2**64 - 1}
+    fp = sorted(fp)
+    df = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fp], "fp long")
+    rows = [(r.u % 2**64, r.v % 2**64) for r in simhash.fingerprint_links(df, bits, most, largest).collect()]
+    assert classes(fp, rows) == classes(fp, [(a, b) for i, a in enumerate(fp) for b in fp[:i] if (a ^ b).bit_count() <= bits])
+    assert simhash.fingerprint_links(df.limit(0), bits, most, largest).count() == 0
+
+
+def test_large_keys_across_batches():
+    """A key that begins in one batch and goes on in others is passed on whole; its neighbours are not."""
+    import pyarrow as pa
+
+    from tessera.llm import simhash
+
+    key = [1] * 3 + [2] * 40 + [3] * 2 + [4] * 9 + [5] * 30
+    fp = list(range(len(key)))
+    for step in (1, 4, 7, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + step], pa.int64()), pa.array(fp[i : i + step], pa.int64())], names=["key", "fp"]) for i in range(0, len(key), step)]
+        on = sorted(r["u"] for b in simhash._links(3, 8)(iter(batches)) for r in b.to_pylist() if r["v"] is None)
+        assert on == [f for k, f in zip(key, fp, strict=True) if k in (2, 4, 5)]
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 9), (9, 10), (5, 5), (None, 1)] + [(50, i) for i in range(60, 200)] + [(i, i + 1) for i in range(300, 400)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
