@@ -51,6 +51,44 @@ def test_logs_come_back(spark, tmp_path):
         assert sorted(map(tuple, back[name].collect())) == sorted(map(tuple, tables[name].collect())), name
 
 
+LINES = """[0 - 7f3a10] {2}{log}: Task Operation 7 3 1 0
+[12 - ab] {info}{log}: Region 1 2 3
+Region 4 5 6
+[0 - 7f] {2}{log}: Logical Requirement Field 7 0 5
+[0 - 7f] {2}{log}: Logical Requirement 7 0 1 2 3 4 16 0 0
+[0 - 7f] {2}{log}: Task Operation 7 x 1 0
+[0 - 7f] {2}{log}: Task Operation 99999999999999999999 3 1 0
+"""
+OLD = """[0 - 7f] {2}{log}: Task ID 4 main task
+[0 - 7f] {2}{log}: Task 9 child Task ID 4 Parent Context 1
+[0 - 7f] {2}{log}: Region ab12
+[0 - 7f] {2}{log}: Region ab13 Parent c0
+[0 - 7f] {2}{log}: Partition 5 Parent ab12 Disjoint 1
+[0 - 7f] {2}{log}: Event Event 80000001 1 ff 2
+[0 - 7f] {2}{log}: Event Copy Event a 1 b c d e f a0 b0 2
+[0 - 7f] {2}{log}: Index Task Launch 3 9 a 1 b 2 c 3 2 10 20 30
+"""
+
+
+def test_log_formats(spark, tmp_path):
+    (tmp_path / "new").write_text(LINES)
+    (tmp_path / "old").write_text(OLD)
+    t = text.read_log(spark, str(tmp_path / "new"))
+    assert sorted(map(tuple, t["task"].collect()), key=str) == [(7, 3, 1, 0), (None, 3, 1, 0)]
+    assert sorted(map(tuple, t["region"].collect())) == [(1, 2, 3), (4, 5, 6)]
+    assert t["req_field"].count() == t["requirement"].count() == t["other"].count() == 1
+    t = text.read_log(spark, str(tmp_path / "old"), text.LEGACY)
+    assert len(text.LEGACY) == 16 and t["other"].count() == 0
+    assert tuple(t["task_name"].first()) == (4, "main task") and tuple(t["task"].first()) == (9, "child", 4, 1)
+    assert tuple(t["region"].first()) == ("ab12",) and tuple(t["subregion"].first()) == ("ab13", "c0")
+    assert tuple(t["event_event"].first()) == ("80000001", 1, "ff", 2) and t["copy"].count() == 1
+    assert text.index_points(t["index_launch"]).first().point == [10, 20]
+    (tmp_path / "machine").write_text("processor P0 type1 1\nmemory M2 32k\n\naffinity P0 M2 100 1\nwhat is this\n")
+    m = text.read_machine(spark, str(tmp_path / "machine"))
+    assert tuple(m["processors"].first()) == ("P0", "type1", 1) and tuple(m["memories"].first()) == ("M2", 32768)
+    assert tuple(m["affinities"].first()) == ("P0", "M2", 100.0, 1.0)
+
+
 def test_access(spark):
     df = spark.createDataFrame([(1, 2.0, 3.0)], "ptr long, x double, y double")
     r = A.Region("r", df, "ptr", {"y": A.READ_ONLY})
