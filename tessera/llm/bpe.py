@@ -25,9 +25,10 @@ from tessera.llm.common import ship, table
 
 #: Fixed value: the pattern that byte-level vocabularies of this kind split texts by; white space is the Unicode property.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-#: Words whose tokens are remembered (at most two such sets and a block's words); bytes of words
-#: that are merged without a heap; characters of texts in a block.
-CACHE, SHORT, CHARS = 200_000, 64, 1 << 20
+#: Words whose tokens are remembered (at most two such sets and a block's words); pairs that are
+#: remembered (so many and a block's); bytes of words that are merged without a heap; characters of
+#: texts in a block.
+CACHE, PAIRS, SHORT, CHARS = 200_000, 1 << 22, 64, 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -135,6 +136,8 @@ class Bpe:
 
     def _compatible(self, codes: np.ndarray) -> np.ndarray:
         """Whether each pair (a << 20 | b) is the encoding of its bytes."""
+        if len(self.codes) > PAIRS:
+            self.codes, self.fits = np.empty(0, np.int64), np.empty(0, bool)
         new = np.unique(codes)
         if len(self.codes):
             new = new[self.codes[np.minimum(np.searchsorted(self.codes, new), len(self.codes) - 1)] != new]
