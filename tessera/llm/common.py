@@ -65,6 +65,14 @@ def row_key(id_col: str, text_col: str):
     return F.concat_ws(":", F.sha2(text, 256), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
 
 
+def with_row_key(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """``rows`` with the column ``row_key`` under a name that none of its columns has, and that name."""
+    name, taken = "__key", {c.lower() for c in rows.columns}
+    while name in taken:
+        name += "_"
+    return rows.withColumn(name, row_key(id_col, text_col)), name
+
+
 #: Keys that are broadcast at most: 100 bytes each.
 MAX_BROADCAST_KEYS = 100_000
 

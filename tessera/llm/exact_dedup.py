@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, written
+from tessera.llm.common import table, with_row_key, written
 
 MAX_DEPTH = 12
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -90,13 +90,14 @@ def exact_groups(
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one for each text, with all their columns."""
-    def named(frame: DataFrame, sha: Column) -> DataFrame:
-        return frame.withColumn("__key", F.concat_ws(":", sha, F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-
-    keep = named(exact_groups(docs, id_col, text_col).where("kept"), F.col("text_sha256")).select("__key")
-    mine = named(docs, F.sha2(normalised(F.col(text_col)), 256))
-    # Both steps deal by __key: one shuffle of the texts. Rows repeated under the id that stays become one.
-    return mine.join(keep, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    def named(sha: Column) -> Column:
+        return F.concat_ws(":", sha, F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
+
+    key = with_row_key(docs, id_col, text_col)[1]
+    keep = exact_groups(docs, id_col, text_col).where("kept").select(named(F.col("text_sha256")).alias(key))
+    mine = docs.withColumn(key, named(F.sha2(normalised(F.col(text_col)), 256)))
+    # Both steps deal by the key: one shuffle of the texts. Rows repeated under the id that stays become one.
+    return mine.join(keep, key, "left_semi").dropDuplicates([key]).drop(key)
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

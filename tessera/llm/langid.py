@@ -70,14 +70,14 @@ def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(docs.sparkSession)
     spark = docs.sparkSession
     some = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    top = [r[0] for r in some.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()]
-    ids = some.select(F.col(id_col).alias("i")).orderBy(F.xxhash64("i"), "i").limit(max_labelled).collect()
+    some = some.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    top = [r[0] for r in some.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
+    ids = some.select("i").orderBy(F.xxhash64("i"), "i").limit(max_labelled).collect()
     if not ids:
         return Model([], np.zeros((BUCKETS, 0)))
-    sample = spark.createDataFrame(ids, some.select(F.col(id_col).alias("i")).schema).distinct()
+    sample = spark.createDataFrame(ids, some.select("i").schema).distinct()
     rows = (
-        some.where(F.col(lang_col).isin(top)).join(F.broadcast(sample), F.col(id_col) == F.col("i"))
-        .select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+        some.where(F.col("lang").isin(top)).join(F.broadcast(sample), "i").select("lang", "text")
         .mapInArrow(_counted, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
         .collect()
     )  # MAX_LANGUAGES x BUCKETS small rows at most

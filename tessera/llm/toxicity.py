@@ -187,7 +187,7 @@ def learn_lexicon(
     if not 0 < base < 1:
         return Lexicon({}, {})
     words = (
-        docs.join(F.broadcast(sample), F.col(id_col) == F.col("i")).select(F.col(text_col).cast("string"), "toxic")
+        docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "i").select("text", "toxic")
         .mapInArrow(_evidence, "word string, before string, toxic int")
     )
     pairs = words.groupBy("word", "before").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
