@@ -2,11 +2,13 @@
 
 Equal vectors of a label are one point first. Labels with many points are divided into
 cells, whose centers are fit on a bounded sample; every point is assigned. A point also
-visits each cell c, beside its home h, that a partner may live in: a partner a of b differs
-from b by at most d = sqrt(2 - 2 cos), so a can only prefer c if b.h - b.c <= d |c - h|.
-Of d, the part along one direction is about d / sqrt(dimensions); ``z`` of those are
-allowed for (z = None: the whole of d, which loses nothing). So all partners of a point are
-found in its home cell, where its links are counted once.
+visits each cell c, beside its home h, that a partner may live in: a partner a of b stands
+at an angle of at most t = acos(least) from b, so a can only prefer c if b stands at most t
+behind the border of c and h, which is b.h - b.c <= sin(t) |c - h|. This holds in every
+direction and for vectors of any spectrum. So all partners of a point are found in its home
+cell, where its links are counted once. (``z`` allows for that many times the part of
+sqrt(2 - 2 least) that falls on one direction of evenly spread differences instead. It visits
+fewer cells and loses links that lie along few directions; op5 doesn't use it.)
 
 Cells with many points are divided into blocks, a task each: a block's own points stay in
 memory and the cell's points stream by, so memory is bounded at any cell size.
@@ -29,6 +31,8 @@ from tessera.llm.simhash import _root, _union
 #: Points that the centers are fit on; cells in all; points for a cell; own points of a block.
 MAX_SAMPLE, MAX_CELLS, CELL, BLOCK = 20_000, 4_096, 1_000, 1_024
 ROUNDS = 8
+#: More than the rounding errors of the products that a point's cells are told by.
+ROUNDING = 1e-9
 
 
 @dataclass
@@ -105,6 +109,7 @@ def fit_cells(points: DataFrame, cell: int = CELL, max_cells: int = MAX_CELLS, m
 def _places(cells: Cells, blocks: dict[str, int], least: float, z: float | None):
     """(cell, block, role, pid, n, raw): role 0 in the own block of the home cell, 1 in every block of each cell visited."""
     part = np.sqrt(2 - 2 * least)
+    whole = np.sqrt(1 - least * least) if least >= 0 else np.inf  # beyond a right angle a partner may live anywhere
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,8 +122,8 @@ def _places(cells: Cells, blocks: dict[str, int], least: float, z: float | None)
                     v = np.frombuffer(raw)
                     dots = centers @ (v / np.linalg.norm(v))
                     h = int(np.argmax(dots))
-                    reach = part if z is None else min(part, z * part / np.sqrt(len(v)))
-                    near = np.flatnonzero(dots[h] - dots <= reach * np.linalg.norm(centers - centers[h], axis=1))
+                    reach = whole if z is None else min(whole, z * part / np.sqrt(len(v)))
+                    near = np.flatnonzero(dots[h] - dots <= reach * np.linalg.norm(centers - centers[h], axis=1) + ROUNDING)
                     home, visits = f"{group}/{h}", [f"{group}/{i}" for i in near]
                 out.append((home, hash(pid) % blocks.get(home, 1), 0, pid, n, raw))
                 out += [(c, k, 1, pid, n, raw) for c in visits for k in range(blocks.get(c, 1))]
@@ -198,7 +203,7 @@ def _compared(least: float):
 
 def near_duplicate_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93,
-    z: float | None = 4.5, cell: int = CELL, block: int = BLOCK,
+    z: float | None = None, cell: int = CELL, block: int = BLOCK,
 ) -> DataFrame:
     """(id_col, n_links, component_id, kept), one row for each row of ``vectors``.
 

@@ -62,6 +62,22 @@ def test_recall_with_the_default_reach(spark):
     assert sum(got.values()) >= 0.99 * sum(want.values()) and all(got[i] <= want[i] for i in want)
 
 
+def test_no_link_is_lost_in_a_large_label_whose_vectors_spread_along_few_directions(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 64)) / np.arange(1, 65)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    top = np.eye(64)[0]
+    for i in range(0, 3000, 2):  # its partner at cosine 0.931 to 0.96, away from it along the first direction
+        side = top - (top @ x[i]) * x[i]
+        cos = rng.uniform(0.931, 0.96)
+        x[i + 1] = cos * x[i] + np.sqrt(1 - cos * cos) * side / np.linalg.norm(side) * rng.choice([-1, 1])
+    dots = (x @ x.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
+    want = (dots >= 0.93).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in near_duplicate_vectors(df).collect()}
+    assert [got[i] for i in range(3000)] == want.tolist()
+
+
 def test_null_ids(spark):
     v = [1.0, 2.0]
     df = spark.createDataFrame([(None, v, 1), (7, v, 1), (None, [2.0, -1.0], 1)], "vec_id long, embedding array<float>, label int")
