@@ -15,7 +15,7 @@ from tessera.llm.common import ship, table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
 #: Never laid out.
-UNSEEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas svg math datalist map textarea".split())
+UNSEEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas datalist annotation annotation-xml".split())
 #: Blocks with an empty line around them, and blocks that only begin a line.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset menu".split())
 BLOCK = SPACED | frozenset("html body div section article aside nav header footer main address center form li dt dd tr td th thead tbody tfoot caption figcaption details summary hr legend option optgroup hgroup search dialog".split())
@@ -28,12 +28,23 @@ IMPLIED = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}),
 }
+#: What a table is made of. Anything else that stands in these, outside a cell or caption, goes before the table, as in browsers.
+ROW_GROUPS = frozenset("tbody thead tfoot".split())
+TABLE_PARTS = ROW_GROUPS | frozenset("caption colgroup col tr td th".split())
+NO_CELL = ROW_GROUPS | frozenset("table colgroup tr".split())
+IN_TABLE = frozenset("style script template".split())
+#: Foreign elements: those whose text is drawn, those that may hold HTML, and the HTML tags that end others.
+FOREIGN = frozenset("svg math".split())
+SVG_UNSEEN = frozenset("defs symbol clippath mask pattern marker title desc metadata lineargradient radialgradient filter".split())
+HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 HEAD_ONLY = frozenset("base link meta title style script noscript template".split())
 MAX_DEPTH = 200  # deeper elements are put in at this depth
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=][^\s>/=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
 SPACE = re.compile(r"[ \t\n\r\f]+")
-HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+HIDDEN_STYLE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse|initial)\b", re.I)
 
 
 class Element:
@@ -60,7 +71,7 @@ def _tag_end(text: str, at: int) -> int:
 
 def tokens(text: str) -> Iterator[tuple[str, str, dict[str, str]]]:
     """(kind, name or text, attributes); kinds: text, start, end. One pass over the text."""
-    at, n, lower = 0, len(text), None
+    at, n, lower, drawing = 0, len(text), None, False
     while at < n:
         lt = text.find("<", at)
         if lt < 0:
@@ -81,6 +92,7 @@ def tokens(text: str) -> Iterator[tuple[str, str, dict[str, str]]]:
                 return
             at = end + 1
             if nxt == "/":
+                drawing = drawing and tag != "svg"
                 yield "end", tag, {}
                 continue
             attrs: dict[str, str] = {}
@@ -88,8 +100,11 @@ def tokens(text: str) -> Iterator[tuple[str, str, dict[str, str]]]:
                 for m in ATTRIBUTE.finditer(text, name.end(), end):
                     value = m[2] or ""
                     attrs.setdefault(m[1].lower(), html.unescape(value[1:-1] if value[:1] in "\"'" else value) if value else "")
+                if text[end - 1] == "/":
+                    attrs["/"] = ""  # closes itself, which counts in foreign elements only
             yield "start", tag, attrs
-            if tag in RAW:
+            drawing = drawing or tag == "svg"
+            if tag in RAW and not (drawing and "/" in attrs):
                 lower = lower if lower is not None and len(lower) == n else text.lower()
                 close = lower.find(f"</{tag}", at) if len(lower) == n else text.find(f"</{tag}", at)
                 close = n if close < 0 else close
@@ -116,7 +131,7 @@ def parse(text: str) -> Element:
                     last = j
                 del stack[last:]
                 return
-            if stack[i].tag in barrier:
+            if stack[i].tag in barrier or stack[i].tag == "template":
                 return
 
     def inside_body() -> None:
@@ -127,13 +142,48 @@ def parse(text: str) -> Element:
             del stack[1:]
             stack.append(body)
 
+    def open_table() -> int:
+        """The place of the innermost table; 0 where there is none, or a template is within it."""
+        return next((i if stack[i].tag == "table" else 0 for i in range(len(stack) - 1, 0, -1) if stack[i].tag in ("table", "template")), 0) if tables else 0
+
+    def put(node: Element | str) -> None:
+        """To the open element; what a table can't hold there goes before the table."""
+        if tables and stack[-1].tag in NO_CELL and (t := open_table()):
+            stack[t - 1].children.insert(-1, node)  # the open table is the last one
+        else:
+            stack[-1].children.append(node)
+
+    def begin_part(t: int, name: str) -> None:
+        """Close what a part of the table at t can't stand in, and begin the row of a cell."""
+        keep = t + 1
+        if name in ("tr", "td", "th"):
+            keep += len(stack) > keep and stack[keep].tag in ROW_GROUPS
+        if name in ("td", "th"):
+            if len(stack) > keep and stack[keep].tag == "tr":
+                keep += 1
+            else:
+                del stack[keep:]
+                row = Element("tr", {})
+                stack[-1].children.append(row)
+                stack.append(row)
+                keep += 1
+        if name == "col" and len(stack) > keep and stack[keep].tag == "colgroup":
+            keep += 1
+        del stack[keep:]
+
+    tables, foreign = False, False  # whether any was met
     for kind, name, attrs in tokens(text):
         if kind == "text":
             if body is None and len(stack) == 1:
                 if not name.strip():
                     continue
                 inside_body()
-            stack[-1].children.append(name)
+            if not tables or stack[-1].tag not in NO_CELL:
+                stack[-1].children.append(name)
+            elif name.strip():
+                put(name)
+            elif (t := open_table()) and len(stack[t - 1].children) > 1 and isinstance(stack[t - 1].children[-2], str):
+                put(name)  # goes on with the text before
         elif kind == "start":
             if name == "html":
                 root.attrs = attrs | root.attrs
@@ -151,7 +201,20 @@ def parse(text: str) -> Element:
                 continue
             if body is None and name not in HEAD_ONLY and not any(e.tag in RAW for e in stack):
                 inside_body()
-            if name in IMPLIED:
+            if foreign and name in ENDS_FOREIGN:
+                at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in FOREIGN or stack[i].tag in HOLDS_HTML), 0)
+                if at and stack[at].tag in FOREIGN:
+                    del stack[at:]
+            t = open_table()
+            outside = t and next(e.tag for e in reversed(stack) if e.tag in TABLE_PARTS or e.tag == "table") in NO_CELL
+            if t and name in TABLE_PARTS:
+                begin_part(t, name)
+            elif outside and name == "table":
+                del stack[t:]
+                t = outside = 0
+            elif outside and stack[-1].tag == "colgroup" and name != "template":
+                stack.pop()
+            if name in IMPLIED and not (t and name in TABLE_PARTS):
                 close(*IMPLIED[name])
                 if name in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
                     row = Element("tr", {})
@@ -164,17 +227,25 @@ def parse(text: str) -> Element:
             if name == "a":
                 close({"a"}, BLOCK)
             new = Element(name, attrs)
-            stack[-1].children.append(new)
-            if name not in VOID and len(stack) < MAX_DEPTH:
-                stack.append(new)
+            if t and (name in TABLE_PARTS or name in IN_TABLE):
+                stack[-1].children.append(new)
+            else:
+                put(new)
+            tables, foreign = tables or name == "table", foreign or name in FOREIGN
+            if name in VOID or len(stack) >= MAX_DEPTH or (outside and name == "form"):
+                continue
+            if foreign and "/" in attrs and (name in FOREIGN or any(e.tag in FOREIGN for e in stack)):
+                continue
+            stack.append(new)
         elif name == "br":
             inside_body()
-            stack[-1].children.append(Element("br", {}))
+            put(Element("br", {}))
         elif name == "head":
             if len(stack) > 1 and stack[1].tag == "head":
                 del stack[1:]
         elif name not in ("html", "body"):
-            barrier = {"td", "th", "table"} - {name} if name not in ("table", "tr", "tbody", "thead", "tfoot") else set()
+            barrier = {"td", "th", "table", "template"} if name not in ("table", "tr", "tbody", "thead", "tfoot") else {"table", "template"}
+            barrier = barrier - {name} if name != "template" else set()
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == name and stack[i] is not body:
                     del stack[i:]
@@ -186,6 +257,16 @@ def parse(text: str) -> Element:
     return root
 
 
+def _seen(e: Element, visible: bool = True) -> bool:
+    """Take what visibility hides out of the tree; whether anything is left that shows. Its value passes on to what is within."""
+    if (found := VISIBILITY.findall(e.attrs.get("style", ""))):
+        visible = found[-1].lower() in ("visible", "initial")
+    e.children = [c for c in e.children if (visible if isinstance(c, str) else _seen(c, visible))]
+    if not visible and e.tag == "q":
+        e.tag = "span"  # its marks don't show
+    return visible or bool(e.children)
+
+
 def _shown(e: Element) -> bool:
     if e.tag in UNSEEN or "hidden" in e.attrs:
         return False
@@ -237,6 +318,13 @@ class Flow:
                 self._open()
                 self.line.append(part)
 
+    def typed(self, s: str) -> None:
+        """Text within a line that keeps its own lines and spaces; the first line end is not part of it."""
+        if self.line and self.space:
+            self.line.append(" ")
+        self.space = False
+        self.raw(s.replace("\r\n", "\n").removeprefix("\n"))
+
     def new_line(self) -> None:
         if self.line:
             self.end_line(0)
@@ -310,9 +398,7 @@ def _table(e: Element) -> list[str]:
                     line = line.ljust(ends[col] - 3)[: max(len(line), ends[col] - 3)] + " | "
                 line += lines[i] if i < len(lines) else ""
             out.append(line.rstrip())
-    # Text that stands in the table but in no cell is laid out before it.
-    stray = [c for c in e.children if isinstance(c, str) and c.strip()]
-    return [SPACE.sub(" ", s).strip(" ") for s in stray] + out
+    return out
 
 
 def _lines(e: Element) -> list[str]:
@@ -346,6 +432,19 @@ def _wrapped(e: Element) -> Element:
     return w
 
 
+def _drawn(e: Element, flow: Flow, pre: bool) -> None:
+    """The text of a drawing: what stands in text elements, a line each, and HTML within it."""
+    for c in e.children:
+        if isinstance(c, str) or not _shown(c) or c.tag in SVG_UNSEEN:
+            continue
+        if c.tag in ("text", "foreignobject"):
+            flow.end_line(0)
+            _inside(c, flow, pre)
+            flow.end_line(0)
+        else:
+            _drawn(c, flow, pre)
+
+
 def _inside(e: Element, flow: Flow, pre: bool) -> None:
     for c in e.children:
         if isinstance(c, str):
@@ -369,7 +468,11 @@ def _inside(e: Element, flow: Flow, pre: bool) -> None:
         elif tag == "pre":
             flow.block(_lines(c), 1)
         elif tag == "details" and "open" not in c.attrs:
-            flow.block([x for s in c.children if isinstance(s, Element) and s.tag == "summary" for x in _lines(s)][:1], 0)
+            flow.block(next((_lines(s) for s in c.children if isinstance(s, Element) and s.tag == "summary" and _shown(s)), []), 0)
+        elif tag == "textarea":
+            flow.typed("".join(x for x in c.children if isinstance(x, str)))
+        elif tag == "svg":
+            _drawn(c, flow, pre)
         elif tag == "q":
             flow.text("“")
             flow.space = False
@@ -388,7 +491,10 @@ def render(text: str | None) -> str:
     """All visible text of a page; null and empty pages give an empty text."""
     if not text:
         return ""
-    lines = _lines(parse(text.replace("\x00", "")))
+    tree = parse(text.replace("\x00", ""))
+    if "visibility" in text.lower():
+        _seen(tree)
+    lines = _lines(tree)
     while lines and not lines[0].strip():
         lines.pop(0)
     while lines and not lines[-1].strip():

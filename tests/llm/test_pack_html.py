@@ -76,6 +76,27 @@ def test_render(page, text):
     assert "\n".join(x.strip() if "blockquote" in (page or "") else x for x in render(page).split("\n")) == text
 
 
+SEEN = [
+    ("<table><form><tr><td>a<td>b</form></table>", "a | b"), ("<table><colgroup><col><tr><td>a<td>b</table>", "a | b"), ("<table><colgroup><col><col></colgroup><tbody><tr><td>a</table>", "a"),
+    ("<table><tr><form><td>a<td>b</table>", "a | b"), ("<table><tr><a><td>a<td>b</table>c", "a | b\n\nc"), ("<table><tbody>x<tr>y<td>a</table>", "xy\n\na"),
+    ("<table><div>x</div><tr><td>a</table>", "x\n\na"), ("<table><tr><div>x<td>a</td></div><td>b</table>", "x\n\na | b"), ("<p>o<table>x <b>y</b> z<tr><td>a</table>", "o\n\nx y z\n\na"),
+    ("<table>a < b<tr><td>c</table>", "a < b\n\nc"), ("<table><caption>c<tr><td>a</table>", "c\na"), ("<table><tr><table><tr><td>a</table>b", "a\n\nb"),
+    ("<table><tr><td>a<table><tr><td>b</tr></table>c</table>", "a\n\nb\n\nc"), ("<table><template><tr><td>x</template><tr><td>a</table>", "a"),
+    ("<table><script>x</script><style>y</style><tr><td>a</table>", "a"), ("<table><ul><li>x</ul><tr><td>a</table>", "- x\n\na"), ("<table><select><option>x</select><tr><td>a</table>", "x\n\na"),
+    ("<details><summary>a<br>b</summary>h</details>", "a\nb"), ("<details><summary>a</summary><summary>b</summary></details>", "a"),
+    ("a <math><mi>x</mi><mo>=</mo><mn>1</mn></math>", "a x=1"), ("<map><area>m</map>", "m"), ("a <textarea>\nb\n c</textarea>", "a b\n c"),
+    ("<svg><title>t</title><defs/><g><path d=''/><text>a</text></g></svg>b", "a\nb"), ("<svg><defs><text>x</text></defs><rect>r</rect><foreignObject><p>a</p></foreignObject></svg>", "a"), ("<svg><g><p>a</p>", "a"),
+    ("<div style='visibility:hidden'>x<b style='visibility: visible'>a</b><p>y</div>c", "a\nc"), ("<p style='visibility:hidden'>x</p>a", "a"),
+    ("<svg><title/><text>a</text></svg>b", "a\nb"), ("<table><tr><td><template><tr><td>x</template>a<td>b</table>", "a | b"),
+    ("<div style='display:none'><b style='visibility:visible'>x</b></div>a", "a"),
+]
+
+
+@pytest.mark.parametrize("page,text", SEEN)
+def test_all_that_a_browser_shows_is_kept(page, text):
+    assert render(page) == text
+
+
 def test_broken_markup_never_fails():
     rnd = random.Random(1)
     bits = ["<", ">", "</", "<p", "<table>", "<td>", "</tr>", "<li>", "'", '"', "x", " ", "&", "&#", "<!--", "-->", "<script>", "=", "<pre>", "</table>", "<a href="]
