@@ -43,15 +43,19 @@ class Trie:
         self.root: dict = {}
         self.heads: set[str] = set()
         self.tails: set[str] = set()
+        self.middles: dict[int, set[str]] = {}
         self.sizes: set[int] = set()
         for t in terms:
             if edits(t):
                 self.sizes.update(range(len(t) - edits(t), len(t) + edits(t) + 1))
-                # Of 1 + k parts of a term, k edits leave one whole; the first and the last are asked for
-                # where k = 1, and any start of two letters or end of two letters where k = 2.
+                # Of 1 + k parts of a term, k edits leave one whole. The first then begins the word and the last
+                # ends it; where k = 2, the middle third may stand up to two places off.
                 half = len(t) // 2 if edits(t) == 1 else len(t) // 3
                 self.heads.add(t[:half][:3])
                 self.tails.add(t[half if edits(t) == 1 else -half:][-3:])
+                if edits(t) == 2:
+                    for at in range(half - 2, half + 3):
+                        self.middles.setdefault(at, set()).add(t[half : half + 3])
             node = self.root
             for ch in t:
                 node = node.setdefault(ch, {})
@@ -59,7 +63,10 @@ class Trie:
 
     def near(self, word: str) -> tuple[str, int] | None:
         """(term, edits) for the heaviest of the terms within their allowed edits, 1 or more."""
-        if len(word) not in self.sizes or not (word[:3] in self.heads or word[:2] in self.heads or word[-3:] in self.tails or word[-2:] in self.tails):
+        if len(word) not in self.sizes or not (
+            word[:3] in self.heads or word[:2] in self.heads or word[-3:] in self.tails or word[-2:] in self.tails
+            or any(word[at : at + 3] in m for at, m in self.middles.items())
+        ):
             return None
         best: tuple[float, str, int] | None = None
         stack = [(self.root, tuple((i, i) for i in range(3)))]  # states: (place in the word, edits)

@@ -39,6 +39,24 @@ def test_automaton_finds_what_distance_finds():
     assert trie.near("scums") is None and trie.near("idoit") is None and trie.near("") is None
 
 
+def test_automaton_finds_every_distance_that_a_term_allows():
+    terms = {"worthless": 0.9, "idiot": 0.8, "disgusting": 0.6, "contemptible": 0.7, "scum": 0.9}
+    trie, rnd = Trie(terms), random.Random(5)
+    assert trie.near("wprthlesd") == ("worthless", 2)
+    far = 0
+    for _ in range(6000):
+        w = list(rnd.choice(list(terms)))
+        for _ in range(rnd.randint(1, 3)):
+            i = rnd.randrange(len(w) + 1)
+            w[i : i + rnd.randint(0, 1)] = rnd.choice(["", "x", "o", "t"])
+            w = w or ["x"]
+        w = "".join(w)
+        want = {(t, d) for t in terms if 0 < (d := distance(w, t)) <= edits(t)}
+        assert trie.near(w) == max(want, key=lambda x: terms[x[0]], default=None), w
+        far += any(d == 2 for _, d in want)
+    assert far > 500
+
+
 def test_quotation_counts_less():
     s = Scorer(Lexicon({"idiot": 0.9, "pathetic": 0.9}, {"idiot": 0.45, "pathetic": 0.45}))
     assert s.score("you idiot") >= 0.7 > s.score('she said "you idiot" to them') > 0
