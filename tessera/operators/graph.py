@@ -34,17 +34,23 @@ def reach(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 64
     return paths
 
 
-def components(edges: DataFrame, a: str = "src", b: str = "dst", rounds: int = 64) -> DataFrame:
-    """(node, component): the smallest node that is connected. Labels are lowered along edges and then along themselves."""
-    both = settled(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(b, a)).where("u IS NOT NULL AND v IS NOT NULL").distinct())
-    label = settled(both.groupBy("u").agg(F.least(F.min("u"), F.min("v")).alias("c")).withColumnRenamed("u", "node"))
-    for _ in range(rounds):
-        seen = both.join(label, F.col("v") == F.col("node")).groupBy("u").agg(F.min("c").alias("m"))
-        lower = label.join(seen, F.col("node") == F.col("u")).select("node", F.least("c", "m").alias("c"))
-        far = lower.select(F.col("node").alias("n2"), F.col("c").alias("c2"))
-        new = settled(lower.join(far, F.col("c") == F.col("n2")).select("node", F.least("c", "c2").alias("c")))
-        same = new.alias("x").join(label.alias("y"), "node").where("x.c <> y.c").isEmpty()
-        label = new
-        if same:
-            break
-    return label.select("node", F.col("c").alias("component"))
+def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
+    """(node, component): the smallest node that is connected.
+
+    Large-star and small-star rounds run until the edges no longer change: the larger neighbours of a node,
+    then its smaller ones, are linked to the smallest node seen from it.
+    """
+    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(b, a)).where("u IS NOT NULL AND v IS NOT NULL")
+    both = settled(both.distinct())
+    now, before = settled(both.where("u > v")), None
+    while (state := now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()) != before:
+        before = state
+        around = now.union(now.select("v", "u"))
+        least = around.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("m"))
+        large = settled(around.where("v > u").join(least, F.col("u") == F.col("node")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
+        small = large.join(least, F.col("u") == F.col("node")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        now = settled(small.union(least.select("node", "m")).distinct())
+    # Each node that isn't the smallest of its component now has one edge, to that.
+    to = now.select(F.col("u").alias("node"), F.col("v").alias("c"))
+    return both.select(F.col("u").alias("node")).distinct().join(to, "node", "left").select("node", F.coalesce("c", "node").alias("component"))
