@@ -5,8 +5,9 @@
 2. The directory doubles until no bucket holds more keys than its capacity, or the
    directory's largest depth is reached; it has at most 2^MAX_DEPTH slots at any input size.
    Beyond that, buckets simply hold more keys: nothing depends on their size.
-3. Owner tasks take the rows of their buckets and group them by key *and bytes*, so texts
-   that collide are chained as entries of their own. Copies are combined before the shuffle.
+3. Rows are grouped by bucket, key *and bytes*, so texts that collide are chained as entries
+   of their own. Copies are combined before the shuffle, which deals by all three: no task or
+   file owns a bucket, and the grouping by key and bytes alone tells what is equal.
 4. Rows take their entry by key and digest. Entries of one key whose digests agree although
    their bytes do not (the digest is a parameter) are resolved by a join on the bytes.
 """
