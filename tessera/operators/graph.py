@@ -2,55 +2,57 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.shared import written
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder named by spark.checkpoint.dir, set to a new one only where unset."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/tessera/graph-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def reach(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(src, dst) for every pair with a path, by doubling: the paths found are joined with themselves until none is new.
 
-def reach(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 64) -> DataFrame:
-    """(src, dst) for every pair with a path, by doubling: the paths found are joined with themselves."""
-    paths = settled(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct())
-    n = paths.count()
-    for _ in range(rounds):
+    Rows with a null are left out. The result holds a row for each pair, so it suits graphs of few paths.
+    """
+    known = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
+    paths, before = written(known.distinct(), "paths"), -1
+    while (now := paths.count()) != before:
+        before = now
         longer = paths.alias("a").join(paths.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
-        paths = settled(paths.union(longer).distinct())
-        if (now := paths.count()) == n:
-            break
-        n = now
+        paths = written(paths.union(longer).distinct(), "paths")
     return paths
 
 
-def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
-    """(node, component): the smallest node that is connected.
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
 
-    Large-star and small-star rounds run until the edges no longer change: the larger neighbours of a node,
-    then its smaller ones, are linked to the smallest node seen from it.
+def linked_components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+    """(node, root) for every node of a link between two different nodes; root is the smallest node reachable.
+
+    Large-star and small-star rounds run until the edges no longer change, however many that takes: the larger
+    neighbours of a node, then its smaller ones, are linked to the smallest node seen from it. A node with very many
+    neighbours is combined before the shuffle of its minimum, and adaptive execution splits its edges in the joins
+    (each has one row for the node on the other side). Loops and rows with a null are left out; repeated links count once; no link at all gives an empty table.
     """
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(b, a)).where("u IS NOT NULL AND v IS NOT NULL")
-    both = settled(both.distinct())
-    now, before = settled(both.where("u > v")), None
-    while (state := now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()) != before:
-        before = state
-        around = now.union(now.select("v", "u"))
-        least = around.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("m"))
-        large = settled(around.where("v > u").join(least, F.col("u") == F.col("node")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = large.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
-        small = large.join(least, F.col("u") == F.col("node")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = settled(small.union(least.select("node", "m")).distinct())
-    # Each node that isn't the smallest of its component now has one edge, to that.
-    to = now.select(F.col("u").alias("node"), F.col("v").alias("c"))
-    return both.select(F.col("u").alias("node")).distinct().join(to, "node", "left").select("node", F.coalesce("c", "node").alias("component"))
+    a, b = F.col(u), F.col(v)
+    edges = links.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    edges, before = written(edges.distinct(), "links"), None
+    while (now := _state(edges))[0] and now != before:
+        before = now
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Both uses of the large star read one exchange; a round is written once.
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low.withColumnRenamed("u", "c"), F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = written(small.where("u != v").union(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+
+
+def components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
+    """(node, component) for every node of an edge, loops included: the smallest node that is connected."""
+    ends = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
+    ends = written(ends.distinct(), "edges")
+    nodes = ends.select(F.col("src").alias("node")).union(ends.select("dst")).distinct()
+    return nodes.join(linked_components(ends, "src", "dst"), "node", "left").select("node", F.coalesce("root", "node").alias("component"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import uts_child, uts_has_children
-from tessera.operators.graph import settled
+from tessera.operators.shared import written
 
 #: Half of the 26 neighbours of a cell, so that each pair of cells meets once.
 HALF = [(dx, dy, dz) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1) if (dx, dy, dz) > (0, 0, 0)]
@@ -73,7 +73,7 @@ def lu(rows: DataFrame, n: int, every: int = 8) -> DataFrame:
         lower = F.col("rank").isNull() & (F.col("id") != best["id"])
         state = state.select("id", F.when(lower, step).otherwise(F.col("v")).alias("v"), F.when(F.col("id") == best["id"], k).otherwise(F.col("rank")).alias("rank"))
         if (k + 1) % every == 0:
-            state = settled(state)
+            state = written(state, "lu")
     return state.select("id", "rank", "v")
 
 
