@@ -1,41 +1,15 @@
-"""What the operators of this package share: the shared folder, written tables, packaging."""
+"""What the operators of this package share: packaging, tables, row keys; written tables come from the library."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (tests, local use) a temporary folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; two calls never give the same one."""
-    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs no more than the tasks that it was running.
-    """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from tessera.operators.shared import HOT_SHARES, scratch, shared_dir, with_labels, written  # noqa: F401
 
 
 def ship(spark: SparkSession) -> None:
@@ -87,21 +61,3 @@ def without_rows(rows: DataFrame, drop: DataFrame, key: str = "__key") -> DataFr
     if drop.count() <= MAX_BROADCAST_KEYS:
         drop = F.broadcast(drop)
     return rows.join(drop, key, "left_anti").drop(key)
-
-
-#: A key with more than this part of all rows is hot; so fewer keys than this can be, 100 bytes each.
-HOT_SHARES = 10_000
-
-
-def with_labels(rows: DataFrame, labels: DataFrame, key: str | list[str], copies: str) -> DataFrame:
-    """``rows`` joined with the one label row of their key (a column or several, never null), however many rows a key holds.
-
-    ``copies`` is the column of ``labels`` that tells how many rows have the key. Keys with more than
-    1 / HOT_SHARES of all rows are fewer than HOT_SHARES: their labels are broadcast, and their rows
-    stay where they are. The others meet by a shuffle. Both tables are read twice, so they should be
-    written ones. Rows without a label go, as in any inner join.
-    """
-    hot = F.col(copies) * HOT_SHARES > rows.count()
-    few, rest = F.broadcast(labels.where(hot).drop(copies)), labels.where(~hot).drop(copies)
-    cold = rows.join(F.broadcast(labels.where(hot).select(key)), key, "left_anti")
-    return rows.join(few, key).unionByName(cold.join(rest, key))
