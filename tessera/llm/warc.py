@@ -2,8 +2,14 @@
 
 Each record is a gzip member of its own. A reading task takes a byte range, looks for gzip
 magic, and accepts a candidate only if it inflates to a header that begins with the WARC
-version and holds a length. It owns the records that *begin* in its range, and reads on past
-its end to finish the last one.
+version and holds a length; a header may be of any length. It owns the records that *begin*
+in its range, and reads on past its end to finish the last one. The records read from each
+file are counted and held against the manifest: none is lost without an error.
+
+Equal payloads are found on narrow rows. Pages whose payload surely is no copy, and copies of
+hot payloads, are written where they are; only the other copies meet their decision by a
+shuffle. At every input size the broadcast tables hold at most 2^18 words of a bitmap of
+copied digests and the decisions on HOT_SHARES hot ones.
 """
 
 from __future__ import annotations
@@ -19,16 +25,16 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import scratch, ship, table, written
+from tessera.llm.common import HOT_SHARES, scratch, ship, table, written
 
 MAGIC = b"\x1f\x8b\x08"
-#: Bytes read at a time; length of a range; bytes that a record's header may have.
-STEP, RANGE, HEADER = 1 << 18, 8 << 20, 1 << 16
+#: Bytes read at a time; length of a range.
+STEP, RANGE = 1 << 18, 8 << 20
 LEVEL = 4
 #: Equal payloads of so many bytes are written once.
 LEAST = 1000
-#: Decisions that are broadcast at most.
-MAX_BROADCAST = 100_000
+#: Bits of the bitmap of copied digests: it has 2^(BITMAP - 6) words at most.
+BITMAP = 24
 CRLF = b"\r\n"
 
 
@@ -95,7 +101,7 @@ class Source:
     """Bytes of a file from a place on, read in steps; what lies before the place asked for is let go."""
 
     def __init__(self, stream, start: int):
-        self.stream, self.start, self.data, self.over = stream, start, b"", False
+        self.stream, self.start, self.data, self.over = stream, start, bytearray(), False
         stream.seek(start)
 
     def more(self) -> bool:
@@ -105,16 +111,16 @@ class Source:
         return bool(got)
 
     def drop(self, to: int) -> None:
-        self.data = self.data[to - self.start :]
+        del self.data[: to - self.start]
         self.start = to
 
 
-def member(source: Source, at: int) -> tuple[bytes, int] | None:
+def member(source: Source, at: int) -> tuple[bytearray, int] | None:
     """(whole record, place after its member) if a record begins at ``at``, else None."""
     unpack = zlib.decompressobj(31)
-    out, taken, checked = bytearray(), at, False
+    out, taken, looked, checked = bytearray(), at, 0, False
     while True:
-        piece = source.data[taken - source.start : taken - source.start + STEP]
+        piece = bytes(source.data[taken - source.start : taken - source.start + STEP])
         if not piece:
             if not source.more():
                 return None
@@ -127,18 +133,17 @@ def member(source: Source, at: int) -> tuple[bytes, int] | None:
         if not checked:
             if not b"WARC/1.".startswith(out[:7]):
                 return None
-            end = out.find(b"\r\n\r\n")
-            if end < 0 and len(out) > HEADER:
-                return None
+            end = out.find(b"\r\n\r\n", looked)
+            looked = max(0, len(out) - 3)
             if end >= 0:
                 if not headers(bytes(out[:end])).get("content-length", "").isdigit():
                     return None
                 checked = True
         if unpack.eof:
-            return (bytes(out), taken - len(unpack.unused_data)) if checked else None
+            return (out, taken - len(unpack.unused_data)) if checked else None
 
 
-def records(stream, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+def records(stream, start: int, end: int) -> Iterator[tuple[int, bytearray]]:
     """(place, record) of the records that begin in [start, end)."""
     source, at = Source(stream, start), start
     while at < end:
@@ -164,12 +169,13 @@ def records(stream, start: int, end: int) -> Iterator[tuple[int, bytes]]:
         source.drop(at)
 
 
-def parsed(data: bytes) -> dict:
+def parsed(data: bytearray) -> dict:
     """Type, page, payload and what refers to it; payload is None for a revisit."""
-    head, _, rest = data.partition(b"\r\n\r\n")
-    fields = headers(head)
-    block = rest[: int(fields["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
+    begin = data.find(b"\r\n\r\n") + 4
+    fields = headers(bytes(data[: begin - 4]))
+    stop = begin + int(fields["content-length"])
+    body = data.find(b"\r\n\r\n", begin, stop)
+    http, payload = (bytes(data[begin:stop]), b"") if body < 0 else (bytes(data[begin:body]), bytes(data[body + 4 : stop]))
     digest = fields.get("warc-payload-digest", "")
     kind = fields.get("warc-type", "")
     refers = fields.get("warc-refers-to", "")
@@ -195,7 +201,7 @@ def _read(content: bool):
                         digest = r["digest"] if r["payload"] is None else hashlib.sha1(r["payload"]).hexdigest()
                         if r["digest"] not in (None, digest):
                             raise ValueError(f"{path}: a payload isn't the one that was written")
-                        rows.append((r["page"], r["url"], r["bytes"], digest, r["type"], r["refers_to"], r["payload"] if content else None))
+                        rows.append((path, r["page"], r["url"], r["bytes"], digest, r["type"], r["refers_to"], r["payload"] if content else None))
                         size += len(data) if content else 300
                         if size > 8 << 20:
                             yield _rows(rows)
@@ -206,11 +212,11 @@ def _read(content: bool):
     return run
 
 
-READ = "page string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary"
+READ = "path string, page string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary"
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in READ.split(", ")])
 
 
@@ -225,24 +231,43 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     ship(spark)
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    keyed = rows.withColumn("sha", F.sha1("payload"))
-    first = written(
-        keyed.where(F.octet_length("payload") >= LEAST).groupBy("sha").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL").select("sha", "first"),
-        "first-records")
-    if first.count() <= MAX_BROADCAST:
-        first = F.broadcast(first)
-    chosen = keyed.join(first, "sha", "left").select(
+    keyed = rows.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
+    copied = keyed.where(F.col("size") >= LEAST).groupBy("sha").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    copied = written(copied.where("n > 1 AND first IS NOT NULL").withColumn("hot", F.col("n") * HOT_SHARES > pages.select(F.lit(1)).count()), "copied")
+    bit = F.conv(F.substring("sha", 1, BITMAP // 4), 16, 10).cast("long")
+    word, place = F.shiftright(bit, 6).alias("word"), bit % 64
+    # A bit is set where some digest with these first digits has copies; unset bits tell that a payload has none.
+    bits = copied.where("NOT hot").groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(conv(substring(sha, 1, %d), 16, 10) AS bigint) %% 64)" % (BITMAP // 4))).alias("bits"))
+    told = (
+        keyed.withColumn("word", word).join(F.broadcast(bits), "word", "left")
+        .join(F.broadcast(copied.where("hot").select("sha", F.col("first").alias("hot_first"))), "sha", "left")
+        .withColumn("unsure", F.col("hot_first").isNull() & (F.col("size") >= LEAST) & (F.coalesce(F.getbit(F.col("bits"), place.cast("int")), F.lit(0)) == 1))
+        .withColumn("hot_first", F.when(F.col("size") >= LEAST, F.col("hot_first")))
+    )
+    here = told.where("NOT unsure").select("id", "url", "payload", F.col("hot_first").alias("first"))
+    met = told.where("unsure").join(copied.where("NOT hot").select("sha", "first"), "sha", "left").select("id", "url", "payload", "first")
+    chosen = here.union(met).select(
         F.col("id").cast("string").alias("page"), "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first").cast("string")).alias("refers_to"))
     return written(chosen.mapInArrow(_write(folder), "path string, size long, records long"), "manifest")
 
 
 def read_warc(manifest: DataFrame, content: bool = True, span: int = RANGE) -> DataFrame:
-    """The records of the files (path, size) of a manifest; the payload of a revisit is null, and any is without ``content``."""
+    """The records of the files (path, size) of a manifest; the payload of a revisit is null, and any is without ``content``.
+
+    What was read is written in the shared folder. Where the manifest has the column records, a file of
+    which another number of records was read, as of a damaged one, is an error. An empty manifest gives an empty table.
+    """
     ship(manifest.sparkSession)
     ranges = manifest.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(span).cast("long"))).alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + span, "size").alias("end"))
     n = max(1, ranges.count())
-    return ranges.repartition(n).mapInArrow(_read(content), READ)
+    read = written(ranges.repartition(n).mapInArrow(_read(content), READ), "records")
+    if "records" in manifest.columns:
+        seen = read.groupBy("path").agg(F.count(F.lit(1)).alias("seen"))
+        off = manifest.select("path", "records").join(seen, "path", "left").where(F.coalesce("seen", F.lit(0)) != F.col("records")).first()
+        if off:
+            raise ValueError(f"{off['path']}: {off['seen'] or 0} records read of {off['records']}")
+    return read.drop("path")
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:

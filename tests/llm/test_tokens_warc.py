@@ -4,6 +4,7 @@ import hashlib
 import io
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -116,6 +117,62 @@ def test_warc_round_trip(spark, span):
     assert warc.read_warc(warc.write_warc(pages.limit(0), scratch(spark, "warc"))).count() == 0
 
 
+@pytest.mark.parametrize("shares", [0, 10_000, 10**9])
+def test_warc_copies_hot_and_rare(spark, monkeypatch, shares):
+    """Decisions by broadcast and by shuffle are the same (0: no copy is hot)."""
+    monkeypatch.setattr(warc, "HOT_SHARES", shares)
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.concat(F.lit("body "), (F.col("id") % 90).cast("string")), 200).alias("html"))
+    got = warc.read_warc(warc.write_warc(pages, scratch(spark, "warc")), content=False).collect()
+    assert {(int(r.page), r.refers_to) for r in got} == {(i, None if i + 90 >= 400 else str(i + 90 * ((399 - i) // 90))) for i in range(400)}
+    assert len(got) == 400
+
+
+def test_no_record_is_lost_whatever_its_header(spark):
+    """Addresses of a megabyte that don't compress, at many places of the reading steps."""
+    rnd = random.Random(6)
+    alphabet = "abcdefghijklmnopqrstuvwxyz0123456789"
+    data, places = b"", []
+    for i in range(50):
+        url = "".join(rnd.choices(alphabet, k=1_000_000 if i % 10 == 0 else 150_000))
+        filler = rnd.randbytes(rnd.randrange(50_000))
+        for u, body in ((None, filler), (url, b"x")):
+            packer = zlib.compressobj(warc.LEVEL, zlib.DEFLATED, 31)
+            places.append(len(data))
+            data += packer.compress(warc.record(str(i), u, body, hashlib.sha1(body).hexdigest(), None)) + packer.flush()
+    for span in (100_000, 1 << 20, 1 << 30):
+        seen = [at for s in range(0, len(data), span) for at, _ in warc.records(io.BytesIO(data), s, min(s + span, len(data)))]
+        assert seen == places
+    pages = spark.createDataFrame([(i, "".join(rnd.choices(alphabet, k=600_000)), "page") for i in range(3)], "page_id long, url string, html string")
+    got = warc.read_warc(warc.write_warc(pages, scratch(spark, "warc")), span=100_000)
+    assert {(r.page, r.url) for r in got.collect()} == {(str(r.page_id), r.url) for r in pages.collect()}
+
+
+def test_a_large_record_takes_linear_time():
+    rnd, took = random.Random(7), []
+    for size in (16 << 20, 64 << 20):
+        body = rnd.randbytes(size)
+        packer = zlib.compressobj(0, zlib.DEFLATED, 31)
+        data = packer.compress(warc.record("1", None, body, hashlib.sha1(body).hexdigest(), None)) + packer.flush()
+        began = time.process_time()
+        (_, got), = warc.records(io.BytesIO(data), 0, len(data))
+        assert warc.parsed(got)["payload"] == body
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5
+
+
+def test_a_damaged_file_is_an_error(spark):
+    pages = spark.range(50).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.col("id").cast("string").alias("html"))
+    manifest = warc.write_warc(pages.coalesce(1), scratch(spark, "warc"))
+    path = manifest.first().path.removeprefix("file://")
+    data = open(path, "rb").read()
+    middle = data.index(warc.MAGIC, len(data) // 2)
+    with open(path, "wb") as f:
+        f.write(data[:middle] + bytes(40) + data[middle + 40 :])
+    with pytest.raises(ValueError, match="49 records read of 50"):
+        warc.read_warc(manifest)
+    assert warc.read_warc(manifest.select("path", "size")).count() == 49
+
+
 def test_files_are_plain_gzip(spark):
     pages = spark.createDataFrame([(1, "u", "hello")], "page_id long, url string, html string")
     path = warc.write_warc(pages, scratch(spark, "warc")).first().path
