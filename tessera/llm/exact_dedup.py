@@ -1,25 +1,29 @@
 """Exact duplicates through an extendible-hash index on shared files, in DataFrame operations only.
 
-1. Each row's key (XXH64 of the normalised text) is written to the index with its id and
+1. Each row's key (XXH64 of the normalised text, mixed once more) is written with its id and
    content digest: narrow rows, no text.
-2. The directory doubles until no bucket holds more keys than its capacity, or the
-   directory's largest depth is reached; it has at most 2^MAX_DEPTH slots at any input size.
-   Beyond that, buckets simply hold more keys: nothing depends on their size.
-3. Rows are grouped by bucket, key *and bytes*, so texts that collide are chained as entries
-   of their own. Copies are combined before the shuffle, which deals by all three: no task or
-   file owns a bucket, and the grouping by key and bytes alone tells what is equal.
-4. Rows take their entry by key and digest. Entries of one key whose digests agree although
-   their bytes do not (the digest is a parameter) are resolved by a join on the bytes.
+2. ``directory`` doubles until no bucket holds more keys than its capacity: a bucket that is
+   too full is split by one more bit of the key, the others keep theirs and are shared by
+   several slots. There is no largest depth. A bucket of one key cannot be split further: its
+   entries are chained. The directory is a table (slot, bucket), written in the shared folder.
+3. Texts go to the owner task of their bucket, which the directory tells: it takes all of the
+   bucket's key range, compares bytes and chains texts whose keys collide. Keys with over
+   1 / HOT_SHARES of all rows don't go there: their copies are combined before the shuffle, and
+   their entries are written as chains of the same bucket.
+4. Rows look up their entry through the directory: by bucket, key and digest. Entries of one
+   key whose digests agree although their bytes do not (the digest is a parameter) are told
+   apart by a join on the bytes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, with_row_key, written
+from tessera.llm.common import HOT_SHARES, table, with_labels, with_row_key, written
 
-MAX_DEPTH = 12
+#: Keys of a bucket; slots of a directory that is broadcast (16 bytes each), beyond which it is joined by a shuffle.
+CAPACITY, MAX_BROADCAST_SLOTS = 8_192, 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -28,29 +32,72 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
 
 
-def directory(counts: list[int], capacity: int) -> tuple[list[int], int]:
-    """(bucket of each slot, global depth) for the keys counted by slot at the largest depth.
+def slot_of(h: Column, depth: int) -> Column:
+    """The first ``depth`` bits of a key."""
+    return F.shiftrightunsigned(h, 64 - depth) if depth else F.lit(0).cast("long")
 
-    Starts as one bucket and doubles: a bucket over its capacity is split by one more bit.
+
+def directory(keys: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+    """((slot, bucket, depth), global depth) for the distinct keys (h long) of a table.
+
+    Begins with one bucket of depth 0. While a bucket holds more than ``capacity`` keys, it is
+    split; where it is as deep as the directory, this doubles. A bucket is named by its depth
+    and first bits, as bits << 8 | depth, and every slot below it leads to it.
     """
-    depth_of = len(counts).bit_length() - 1
-    slots, deepest, todo, n = [0] * len(counts), 0, [(0, 0)], 0
-    while todo:
-        prefix, depth = todo.pop()
-        span = len(counts) >> depth
-        mine = range(prefix * span, (prefix + 1) * span)
-        if depth < depth_of and sum(counts[i] for i in mine) > capacity:
-            todo += [(prefix * 2 + 1, depth + 1), (prefix * 2, depth + 1)]
-            continue
-        for i in mine:
-            slots[i] = n
-        n, deepest = n + 1, max(deepest, depth)
-    return slots, deepest
+    depth = 0
+    n = keys.count()
+    while n > capacity << depth:
+        depth += 1
+    while True:
+        # Keys of every slot; summed up for the buckets of each depth that the slot could belong to.
+        slots = keys.groupBy(slot_of(F.col("h"), depth).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+        up = slots.select("n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d"), "slot")
+        full = written(
+            up.groupBy("d", F.expr(f"shiftright(slot, {depth} - d)").alias("bits")).agg(F.sum("n").alias("n")).where(F.col("n") > capacity), "overfull")
+        if full.where(F.col("d") == depth).isEmpty() or depth >= 60:
+            break
+        depth += 1  # the directory doubles
+    every = keys.sparkSession.range(1 << depth).select(F.col("id").alias("slot"))
+    below = F.explode(F.expr(f"sequence(shiftleft(bits, {depth} - d), shiftleft(bits + 1, {depth} - d) - 1)"))
+    split = full.where(F.col("d") < depth).select("d", below.alias("slot")).groupBy("slot")
+    local = every.join(split.agg((F.max("d") + 1).alias("depth")), "slot", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    slots = local.withColumn("bucket", F.expr(f"shiftleft(shiftright(slot, {depth} - depth), 8) + depth"))
+    return written(slots.select("slot", "bucket", "depth"), "directory"), depth
+
+
+def with_bucket(rows: DataFrame, slots: DataFrame, depth: int, most: int) -> DataFrame:
+    """``rows`` (h) with the bucket that the directory gives for their key."""
+    if 1 << depth <= most:
+        slots = F.broadcast(slots)
+    return rows.withColumn("slot", slot_of(F.col("h"), depth)).join(slots.select("slot", "bucket"), "slot").drop("slot")
+
+
+def build_index(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, max_broadcast: int = MAX_BROADCAST_SLOTS,
+    key=F.xxhash64, digest=lambda c: F.sha2(c, 256), hot_shares: int = HOT_SHARES,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, entries, texts): rows (id, h, tag, sha, bucket); entries (bucket, h, tag, keep_id, group_size, chained), written by their
+    owners; texts are the rows (id, norm, h, bucket), not written. An entry is one text; chained tells how many of its key have its digest."""
+    mixed = F.xxhash64(key(F.col("norm")))
+    texts = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm")).withColumn("h", mixed)
+    rows = written(texts.select("id", "h", digest(F.col("norm")).alias("tag"), F.sha2("norm", 256).alias("sha")), "index-rows")
+    counts = written(rows.groupBy("h").agg(F.count(F.lit(1)).alias("copies")), "index-keys")
+    slots, depth = directory(counts.select("h"), capacity)
+    hot = F.broadcast(counts.where(F.col("copies") * hot_shares > rows.count()).select("h"))  # fewer than hot_shares keys
+    texts = with_bucket(texts, slots, depth, max_broadcast)
+    one = [F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
+    entry = ["bucket", "h", digest(F.col("norm")).alias("tag"), "keep_id", "group_size"]
+    # The owner has all rows of its buckets, so the grouping by key and bytes happens there.
+    owned = texts.join(hot, "h", "left_anti").repartition("bucket").groupBy("bucket", "h", "norm").agg(*one).select(*entry)
+    heavy = texts.join(hot, "h", "left_semi").groupBy("bucket", "h", "norm").agg(*one).select(*entry)
+    chained = F.count(F.lit(1)).over(Window.partitionBy("bucket", "h", "tag")).alias("chained")
+    entries = written(owned.select("*", chained), "index-entries").union(written(heavy.select("*", chained), "index-hot-entries"))
+    return with_bucket(rows, slots, depth, max_broadcast), entries, texts
 
 
 def exact_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 50_000, max_depth: int = MAX_DEPTH,
-    key=F.xxhash64, digest=lambda c: F.sha2(c, 256),
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, max_broadcast: int = MAX_BROADCAST_SLOTS,
+    key=F.xxhash64, digest=lambda c: F.sha2(c, 256), hot_shares: int = HOT_SHARES,
 ) -> DataFrame:
     """One row per row of ``docs``: id_col, keep_id, group_size, kept, text_sha256, bucket.
 
@@ -60,29 +107,15 @@ def exact_groups(
     group_size and are marked alike. An empty table gives an empty one; other columns are
     not read. ``key`` and ``digest`` can be replaced by weaker ones: the result is the same.
     """
-    spark = docs.sparkSession
-    norm = normalised(F.col(text_col))
-    texts = docs.select(F.col(id_col).alias("id"), norm.alias("norm")).withColumn("h", key("norm").cast("long"))
-    rows = written(texts.select("id", "h", digest(F.col("norm")).alias("tag"), F.sha2("norm", 256).alias("sha")), "index-rows")
-    slot = F.shiftrightunsigned("h", 64 - max_depth).cast("int")
-    seen = dict(rows.select("h").distinct().groupBy(slot.alias("slot")).count().collect())  # 2^max_depth rows at most
-    slots, _ = directory([seen.get(i, 0) for i in range(1 << max_depth)], capacity)
-    bucket = F.split(F.lit(",".join(map(str, slots))), ",").cast("array<int>")[slot]
-    entries = (
-        texts.withColumn("bucket", bucket).groupBy("bucket", "h", "norm")
-        .agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("bucket", "h", digest(F.col("norm")).alias("tag"), "keep_id", "group_size")
-    )
-    entries = written(entries, "index-entries")
-    chained = entries.groupBy("h", "tag").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "tag")
-    collided = bool(chained.head(1))
-    if collided:  # equal key and digest, other bytes
-        entries = entries.join(chained, ["h", "tag"], "left_anti")
-    out = rows.join(entries, ["h", "tag"]).select("id", "keep_id", "group_size", "sha", "bucket")
-    if collided:
-        some = texts.withColumn("tag", digest(F.col("norm"))).join(chained, ["h", "tag"], "left_semi").withColumn("bucket", bucket)
-        own = some.groupBy("h", "norm").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        out = out.union(some.join(own, ["h", "norm"]).select("id", "keep_id", "group_size", F.sha2("norm", 256), "bucket"))
+    rows, entries, texts = build_index(docs, id_col, text_col, capacity, max_broadcast, key, digest, hot_shares)
+    rows = written(rows, "addressed-rows")
+    chained = entries.where("chained > 1").select("bucket", "h", "tag").distinct()
+    own = entries.where("chained = 1").select("bucket", "h", "tag", "keep_id", "group_size", F.col("group_size").alias("copies"))
+    out = with_labels(rows, own, ["bucket", "h", "tag"], "copies").select("id", "keep_id", "group_size", "sha", "bucket")
+    if not chained.isEmpty():  # equal key and digest, other bytes
+        some = texts.withColumn("tag", digest(F.col("norm"))).join(chained, ["bucket", "h", "tag"], "left_semi")
+        told = some.groupBy("bucket", "h", "norm").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        out = out.union(some.join(told, ["bucket", "h", "norm"]).select("id", "keep_id", "group_size", F.sha2("norm", 256), "bucket"))
     return out.select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.col("sha").alias("text_sha256"), "bucket",
