@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import ship, table, written
-from tessera.llm.components import connected_components
+from tessera.operators.graph import linked_components
 from tessera.llm.simhash import _root, _union
 
 #: Points that the centers are fit on; cells in all; points for a cell; own points of a block.
 MAX_SAMPLE, MAX_CELLS, CELL, BLOCK = 20_000, 4_096, 1_000, 1_024
 ROUNDS = 8
 #: More than the rounding errors of the products that a point's cells are told by.
-ROUNDING = 1e-9
+ROUNDING = 1e-7
 
 
 @dataclass
@@ -106,43 +106,48 @@ def fit_cells(points: DataFrame, cell: int = CELL, max_cells: int = MAX_CELLS, m
     return out
 
 
-def _places(cells: Cells, blocks: dict[str, int], least: float, z: float | None):
-    """(cell, block, role, pid, n, raw): role 0 in the own block of the home cell, 1 in every block of each cell visited."""
+def _places(cells: Cells, least: float, z: float | None):
+    """(cell, role, pid, n, raw): role 0 in the home cell, 1 in each cell visited."""
     part = np.sqrt(2 - 2 * least)
     whole = np.sqrt(1 - least * least) if least >= 0 else np.inf  # beyond a right angle a partner may live anywhere
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
-            for pid, group, raw, n in zip(*(b.column(c).to_pylist() for c in ("pid", "grp", "raw", "n")), strict=True):
-                centers = cells.centers.get(group)
+            if not b.num_rows:
+                continue
+            groups, raws = np.array(b.column("grp").to_pylist(), object), b.column("raw")
+            names, of = np.unique(groups, return_inverse=True)
+            cell, role, row = [], [], []
+            for g, group in enumerate(names):
+                mine, centers = np.flatnonzero(of == g), cells.centers.get(group)
                 if centers is None:
-                    home, visits = group, [group]
-                else:
-                    v = np.frombuffer(raw)
-                    dots = centers @ (v / np.linalg.norm(v))
-                    h = int(np.argmax(dots))
-                    reach = whole if z is None else min(whole, z * part / np.sqrt(len(v)))
-                    near = np.flatnonzero(dots[h] - dots <= reach * np.linalg.norm(centers - centers[h], axis=1) + ROUNDING)
-                    home, visits = f"{group}/{h}", [f"{group}/{i}" for i in near]
-                out.append((home, hash(pid) % blocks.get(home, 1), 0, pid, n, raw))
-                out += [(c, k, 1, pid, n, raw) for c in visits for k in range(blocks.get(c, 1))]
-                if len(out) >= 4096:
-                    yield _batch(out)
-                    out = []
-            if out:
-                yield _batch(out)
+                    cell += [group] * (2 * len(mine))
+                    role += [0] * len(mine) + [1] * len(mine)
+                    row += [mine, mine]
+                    continue
+                called = np.array([f"{group}/{i}" for i in range(len(centers))], object)
+                for at in range(0, len(mine), 1024):
+                    some = mine[at : at + 1024]
+                    x, norm = _matrix(raws.take(pa.array(some)).to_pylist())
+                    dots = (x / norm[:, None]) @ centers.T
+                    home = np.argmax(dots, axis=1)
+                    reach = whole if z is None else min(whole, z * part / np.sqrt(x.shape[1]))
+                    seen, back = np.unique(home, return_inverse=True)
+                    apart = np.sqrt(np.maximum(0, 2 - 2 * centers[seen] @ centers.T))[back]
+                    near = dots.max(axis=1)[:, None] - dots <= np.where(apart > 0, reach * apart, 0) + ROUNDING
+                    i, c = np.nonzero(near)
+                    cell += [*called[home], *called[c]]
+                    role += [0] * len(some) + [1] * len(i)
+                    row += [some, some[i]]
+            at = pa.array(np.concatenate(row))
+            kept = [b.column(c).take(at) for c in ("pid", "n", "raw")]
+            out = pa.RecordBatch.from_arrays([pa.array(cell, pa.string()), pa.array(role, pa.int32()), *kept], names=["cell", "role", "pid", "n", "raw"])
+            for k in range(0, out.num_rows, 4096):
+                yield out.slice(k, 4096)
 
     return run
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cell, block, role, pid, n, raw = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(cell, pa.string()), pa.array(block, pa.int32()), pa.array(role, pa.int32()), pa.array(pid, pa.int64()), pa.array(n, pa.int64()), pa.array(raw, pa.binary())],
-        names=["cell", "block", "role", "pid", "n", "raw"])
-
-
 def _matrix(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     x = np.frombuffer(b"".join(raw)).reshape(len(raw), -1)
     return x, np.linalg.norm(x, axis=1)
@@ -212,7 +217,8 @@ def near_duplicate_vectors(
     non-finite component link with nothing; so do vectors of different length. Equal vectors
     of a label always link. component_id is the smallest id reachable, kept says whether
     it's the row's own. A null id counts as a partner but names no component: it takes the
-    smallest id of its own, else null, and is not kept. Repeated rows count one each. An
+    smallest id of its own, else null, and is not kept. Repeated rows count one each. Rows of one id whose
+    vectors differ are vectors of their own, each with its own links; so their component may name that id for both. An
     empty table gives an empty one; other columns are not read.
     """
     ship(vectors.sparkSession)
@@ -223,17 +229,19 @@ def near_duplicate_vectors(
     )
     points = (
         rows.where("grp IS NOT NULL").groupBy("grp", "raw").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("n"))
-        .withColumn("sha", F.sha2("raw", 256)).withColumn("pid", F.coalesce("least_id", F.xxhash64("grp", "raw")))
+        .withColumn("sha", F.sha2("raw", 256)).withColumn("pid", F.xxhash64("grp", "raw"))
     )
     points = written(points, "points")
     cells = fit_cells(points, cell)
-    sizes = points.mapInArrow(_places(cells, {}, least, z), "cell string, block int, role int, pid long, n long, raw binary").where("role = 0").groupBy("cell").count()
-    large = {r["cell"]: -(-r["count"] // block) for r in sizes.where(F.col("count") > block).orderBy(F.desc("count")).limit(2 * MAX_CELLS).collect()}
-    placed = points.mapInArrow(_places(cells, large, least, z), "cell string, block int, role int, pid long, n long, raw binary")
+    placed = points.mapInArrow(_places(cells, least, z), "cell string, role int, pid long, n long, raw binary")
+    large = written(placed.where("role = 0").groupBy("cell").count().where(F.col("count") > block).select("cell", F.ceil(F.col("count") / block).cast("int").alias("k")), "large-cells")
+    k = F.coalesce("k", F.lit(1))
+    placed = placed.join(large, "cell", "left").withColumn(
+        "block", F.explode(F.when(F.col("role") == 0, F.array(F.pmod(F.hash("pid"), k))).otherwise(F.sequence(F.lit(0), k - 1)))).select("cell", "block", "role", "pid", "n", "raw")
     found = written(
         placed.repartition("cell", "block").sortWithinPartitions("cell", "block", "role").mapInArrow(_compared(least), "pid long, linked long, u long, v long"), "found")
     linked = found.where("pid IS NOT NULL").groupBy("pid").agg(F.sum("linked").alias("linked"))
-    roots = written(connected_components(found.where("u IS NOT NULL")), "roots")
+    roots = written(linked_components(found.where("u IS NOT NULL")), "roots")
     names = roots.join(points.select("pid", "least_id"), F.col("node") == F.col("pid")).groupBy("root").agg(F.min("least_id").alias("name"))
     named = roots.join(names, "root").select(F.col("node").alias("pid"), "name")
     of = (

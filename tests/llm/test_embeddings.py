@@ -85,6 +85,26 @@ def test_null_ids(spark):
     assert got == sorted([(None, 1, 7, False), (7, 1, 7, True), (None, 0, None, False)], key=str)
 
 
+def test_one_id_on_two_vectors(spark):
+    a, b, c = [1.0, 0.0], [0.0, 1.0], [0.01, 1.0]
+    df = spark.createDataFrame([(7, a, 1), (7, b, 1), (8, c, 1), (9, a, 1)], "vec_id long, embedding array<float>, label int")
+    assert sorted(map(tuple, near_duplicate_vectors(df).collect())) == [(7, 1, 7, True), (7, 1, 7, True), (8, 1, 7, False), (9, 1, 7, False)]
+
+
+@pytest.mark.parametrize("n", [300, 2500, 5000])
+def test_links_at_several_sizes(spark, n):
+    """With one cell and with several; every link is found, each point in blocks of 256."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 24))
+    x[1::2] = x[::2] + rng.normal(size=(n // 2, 24)) * 0.3
+    dots = (x @ x.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
+    want = (dots >= 0.93).sum(axis=1) - 1
+    assert n // 4 < (want > 0).sum()
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in near_duplicate_vectors(df, block=256).collect()}
+    assert [got[i] for i in range(n)] == want.tolist()
+
+
 def op5_and_sql(spark, folder):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
