@@ -366,17 +366,17 @@ def _table(e: Element) -> list[str]:
     for c in e.children:
         if isinstance(c, Element) and c.tag == "caption" and _shown(c):
             out += _lines(c)
-    grid, taken = [], {}
+    grid, until = [], {}  # until: the row from which a column is free again
     for r, row in enumerate(_rows(e)):
         cells, col = [], 0
         for c in row.children:
             if not isinstance(c, Element) or c.tag not in ("td", "th") or not _shown(c):
                 continue
-            while (r, col) in taken:
+            while until.get(col, 0) > r:
                 col += 1
-            wide, high = _number(c.attrs.get("colspan"), 1, 100), _number(c.attrs.get("rowspan"), 1, 100)
-            for i in range(1, high):
-                taken |= dict.fromkeys((r + i, col + j) for j in range(wide))
+            wide, high = _number(c.attrs.get("colspan"), 1, 1000), _number(c.attrs.get("rowspan"), 1, 65534)  # as browsers limit them
+            if high > 1:
+                until |= {col + j: max(r + high, until.get(col + j, 0)) for j in range(wide)}
             cells.append((col, wide, _lines(c)))
             col += wide
         grid.append(cells)
@@ -491,9 +491,18 @@ def render(text: str | None) -> str:
     """All visible text of a page; null and empty pages give an empty text."""
     if not text:
         return ""
-    tree = parse(text.replace("\x00", ""))
-    if "visibility" in text.lower():
-        _seen(tree)
+    return render_tree(parse(text.replace("\x00", "")))
+
+
+def page_language(tree: Element) -> str | None:
+    """The main part of the html element's lang attribute, lower-cased, if that is of two or three letters."""
+    main = re.split("[-_]", tree.attrs.get("lang", "").strip(), maxsplit=1)[0].lower()
+    return main if re.fullmatch("[a-z]{2,3}", main) else None
+
+
+def render_tree(tree: Element) -> str:
+    """The visible text of a parsed page; what is hidden goes from the tree."""
+    _seen(tree)
     lines = _lines(tree)
     while lines and not lines[0].strip():
         lines.pop(0)

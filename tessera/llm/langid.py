@@ -19,12 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import ship, table, with_labels, written
-from tessera.llm.html_text import render
+from tessera.llm.html_text import page_language, parse, render_tree
 
 BUCKETS = 1 << 14
-#: Labelled texts that the model is learned from, and languages that it may know.
-MAX_LABELLED, MAX_LANGUAGES = 3_000, 64
-#: Trigrams of one text are not independent; beyond so many, more of them add no evidence.
+#: Labelled texts that the model is learned from; it knows all their languages.
+MAX_LABELLED = 3_000
+#: Trigrams of one text are not independent: the mean over all of them counts as that of so many at most.
 TEXT_WEIGHT, TEXT_MOST = 0.2, 400
 KAPPA = 5.0
 BLOCK = 1 << 20
@@ -71,16 +71,15 @@ def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     some = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     some = some.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    top = [r[0] for r in some.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
     ids = some.select("i").orderBy(F.xxhash64("i"), "i").limit(max_labelled).collect()
     if not ids:
         return Model([], np.zeros((BUCKETS, 0)))
     sample = spark.createDataFrame(ids, some.select("i").schema).distinct()
     rows = (
-        some.where(F.col("lang").isin(top)).join(F.broadcast(sample), "i").select("lang", "text")
+        some.join(F.broadcast(sample), "i").select("lang", "text")
         .mapInArrow(_counted, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
         .collect()
-    )  # MAX_LANGUAGES x BUCKETS small rows at most
+    )  # BUCKETS small rows at most for each language of the sample
     languages = sorted({r["lang"] for r in rows})
     counts = np.zeros((BUCKETS, len(languages)))
     for r in rows:
@@ -96,12 +95,13 @@ def text_scores(h: np.ndarray, model: Model) -> np.ndarray:
 
 
 def identify(
-    rows: DataFrame, model: Model, id_col: str, text_col: str, declared: Column, host: Column, domain: Column, suffix: Column,
+    rows: DataFrame, model: Model, id_col: str, text_col: str, declared: Column | None, host: Column, domain: Column, suffix: Column,
     markup: bool = False, least: float = 0.5,
 ) -> DataFrame:
     """(id_col, language, confidence, declared, host, n_trigrams, accepted), one row for each row.
 
-    A text without letters in a host without evidence has the prior's language; it is
+    With ``markup`` the texts are HTML: their visible text is told, and where ``declared`` is None the lang
+    attribute of their html element is the declared language. A text without letters in a host without evidence has the prior's language; it is
     rejected (accepted false) if it has no trigram at all or its confidence is below
     ``least``. Null texts count as empty; a null declared language, host, domain or suffix
     adds no evidence of its own; languages that tie go to the first by name. Repeated rows
@@ -109,23 +109,28 @@ def identify(
     """
     ship(rows.sparkSession)
     kind = rows.schema[id_col].dataType.simpleString()
-    langs = model.languages
+    langs, from_page = model.languages, markup and declared is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores, sizes = [], []
-            for t in b.column(1):
-                h = histogram(render(t.as_py()) if markup else t.as_py())
+            scores, sizes, says = [], [], b.column(2).to_pylist()
+            for i, t in enumerate(b.column(1)):
+                text = t.as_py()
+                if markup and text:
+                    tree = parse(text.replace("\x00", ""))
+                    says[i] = page_language(tree) if from_page else says[i]
+                    text = render_tree(tree)
+                h = histogram(text)
                 scores.append(text_scores(h, model).tolist())
                 sizes.append(int(h.sum()))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), b.column(3), b.column(4), b.column(5), pa.array(scores, pa.list_(pa.float64())), pa.array(sizes, pa.int64())],
+                [b.column(0), pa.array(says, pa.string()), b.column(3), b.column(4), b.column(5), pa.array(scores, pa.list_(pa.float64())), pa.array(sizes, pa.int64())],
                 names=["id", "declared", "host", "domain", "suffix", "s", "n"],
             )
 
     none = F.lit("")
     scored = rows.select(
-        F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lower(declared.cast("string")).alias("declared"),
+        F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (F.lit(None).cast("string") if declared is None else F.lower(declared.cast("string"))).alias("declared"),
         F.coalesce(host.cast("string"), none).alias("host"), F.coalesce(domain.cast("string"), none).alias("domain"), F.coalesce(suffix.cast("string"), none).alias("suffix"),
     ).mapInArrow(run, f"id {kind}, declared string, host string, domain string, suffix string, s array<double>, n long")
     if not langs:
@@ -181,13 +186,7 @@ def address_parts(url: Column) -> tuple[Column, Column, Column]:
     return host, F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
 
 
-def declared_language(page: Column) -> Column:
-    """Two letters of the lang attribute of the html element, or null."""
-    found = F.lower(F.regexp_extract(page, r"(?i)<html\b[^>]{0,500}?\blang\s*=\s*[\"']?([A-Za-z]{2})", 1))
-    return F.when(found != "", found)
-
-
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
     model = learn_languages(table(spark, sf_dir, "documents"))
     host, domain, suffix = address_parts(F.col("url"))
-    return identify(table(spark, sf_dir, "pages"), model, "page_id", "html", declared_language(F.col("html")), host, domain, suffix, markup=True)
+    return identify(table(spark, sf_dir, "pages"), model, "page_id", "html", None, host, domain, suffix, markup=True)

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import ship, table, written
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Labelled rows that the lexicon is learned from, and terms that it may hold.
-MAX_LABELLED, MAX_TERMS = 12_000, 5_000
+#: Labelled rows that the lexicon is learned from; it holds all of their terms.
+MAX_LABELLED = 12_000
 #: Share of a term's weight that a misspelling of it has before any is seen, and that a quoted
 #: hit has; the threshold of a prediction.
 MISSPELLED, QUOTED, THRESHOLD = 0.5, 0.5, 0.7
@@ -171,7 +171,7 @@ def held_out(id_col: Column) -> Column:
 
 
 def learn_lexicon(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS,
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED,
 ) -> Lexicon:
     """From at most ``max_labelled`` labelled rows that are not held out.
 
@@ -205,7 +205,7 @@ def learn_lexicon(
     # So many contexts, all toxic by chance, are expected for less than one word in e^2 lexicons.
     least = (math.log(max(2, n_words)) + 2) / -math.log(base)
     weight = (F.col("contexts") + 2 * base) / (F.col("contexts") + F.col("good") + 2)
-    rows = found.where(F.col("contexts") >= least).withColumn("w", weight).where("w >= 0.75").orderBy(F.desc("w"), "word").limit(max_terms)
+    rows = found.where(F.col("contexts") >= least).withColumn("w", weight).where("w >= 0.75")
     terms = {r["word"]: min(0.99, float(r["w"])) for r in rows.select("word", "w").collect()}
     if not terms:
         return Lexicon({}, {})

@@ -120,3 +120,107 @@ def test_trigrams_run_over_blocks():
     assert abs(int(langid.histogram(text).sum()) - len(text)) < 20
     assert not langid.histogram("... 123").any() or int(langid.histogram("... 123").sum()) <= 1
     assert np.array_equal(langid.histogram(None), langid.histogram(""))
+
+
+PAGES = [
+    (1, "https://a.example.de/x", '<!-- <html lang="fr"> --><html data-lang="es" xml:lang="es" lang="de-AT"><body>und das andere wort ist hier und dort'),
+    (2, "http://user@b.example.de:80/?q", "<html " + 'class="' + "x " * 900 + '" lang=de><p>und das wort ist das andere wort und hier'),
+    (3, None, "<p>the word and the other word is here and there"), (4, "not an address", ""), (5, "https://c.example.com", None), (None, "https://c.example.com", "<html lang='xx'>the other word and the word"),
+    (6, "https://c.example.com", "<html lang=''><script>und das</script>12 34"), (6, "https://c.example.com", "<html lang=''><script>und das</script>12 34"),
+    (7, "ftp://c.example.com#f", "<html lang=en>" + "the word and " * 60_000), (8, "https://c.example.com", "<html lang=en>und das andere wort"),
+]
+
+
+def test_op4_against_a_plain_version(spark, tmp_path):
+    import math
+    from html.parser import HTMLParser
+    from urllib.parse import urlsplit
+
+    from tessera.llm.html_text import render
+
+    docs = [(i, ("the word and the other word is here and there " if i % 2 else "und das andere wort ist hier und dort ") * 3, "en" if i % 2 else "de", "s") for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(*p, "clash", 1) for p in PAGES], "page_id long, url string, html string, language string, host int").write.parquet(f"{tmp_path}/pages.parquet")
+
+    class First(HTMLParser):
+        lang = None
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "html":
+                self.lang = (dict(attrs).get("lang") or "").split("-")[0].lower() or None
+
+    def declared(page):
+        p = First()
+        p.feed(page or "")
+        return p.lang
+
+    model = langid.learn_languages(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    k, kappa, langs = len(model.languages), langid.KAPPA, model.languages
+    counts = [langid.histogram(render(h)) for _, _, h in PAGES]
+    n = [int(c.sum()) for c in counts]
+    scores = np.array([langid.text_scores(c, model) for c in counts])
+    share = np.exp(scores - scores.max(axis=1, keepdims=True))
+    share = np.where(np.array(n)[:, None] > 0, share / share.sum(axis=1, keepdims=True), 0)
+    host = [(urlsplit(u or "").hostname or "") for _, u, _ in PAGES]
+    domain, suffix = [".".join(h.split(".")[-2:]) for h in host], [h.split(".")[-1] for h in host]
+    prior = (share.sum(axis=0) + 1) / (share.sum() + k)
+    says = [declared(h) for _, _, h in PAGES]
+    assert says == ["de", "de", None, None, None, "xx", None, None, "en", "en"]
+    want = []
+    for i, (page, _, _) in enumerate(PAGES):
+        own, dom, suf = (share[[x == kind[i] for x in kind]].sum(axis=0) for kind in (host, domain, suffix))
+        e = np.log((own + kappa * (dom + kappa * prior) / (dom.sum() + kappa)) / (own.sum() + kappa)) if own.sum() > 0 else np.log(prior)
+        if own.sum() > 0 and suffix[i]:
+            e = e + np.log((suf + kappa * (suf.sum() + 1) / (share.sum() + 1)) / (share.sum(axis=0) + kappa))
+        f = scores[i] + e
+        told = {d: share[[says[j] == d and n[j] > 0 for j in range(len(PAGES))]].sum(axis=0) for d in langs if d in [says[j] for j in range(len(PAGES)) if n[j] > 0]}
+        if says[i] in told:
+            sure = sum(told.values())
+            f = f + np.array([math.log((told[says[i]][j] + kappa * (0.8 if x == says[i] else 0.2 / k)) / (sure[j] + kappa)) for j, x in enumerate(langs)])
+        sure_of = 1 / np.exp(f - f.max()).sum()
+        want.append((page, langs[int(np.argmax(f))], round(sure_of, 4), says[i], host[i], n[i], n[i] > 0 and sure_of >= 0.5))
+    got = [(r.page_id, r.language, round(r.confidence, 4), r.declared, r.host, r.n_trigrams, r.accepted) for r in langid.op4_language_id(spark, str(tmp_path)).collect()]
+    order = lambda x: tuple(map(str, x))
+    assert sorted(got, key=order) == sorted(want, key=order)
+
+
+def test_equal_evidence_goes_to_the_first_by_name(spark):
+    docs = spark.createDataFrame([(1, "same words here", "fr", "h"), (2, "same words here", "en", "h")], "doc_id long, text string, lang string, source string")
+    got = langid.identify(docs, langid.learn_languages(docs), "doc_id", "text", F.lit(None), F.lit(None), F.lit(None), F.lit(None)).collect()
+    assert [r.language for r in got] == ["en", "en"]
+
+
+def test_no_number_of_languages_is_too_many(spark):
+    docs = spark.createDataFrame([(i, " ".join(chr(97 + (i * 7 + j * 3) % 26) * 3 for j in range(12)) + f" {chr(0x4E00 + i)}" * 30, f"l{i:03}", "h") for i in range(90)], "doc_id long, text string, lang string, source string")
+    model = langid.learn_languages(docs)
+    assert len(model.languages) == 90
+    got = langid.identify(docs.where("doc_id IN (3, 70, 89)"), model, "doc_id", "text", F.lit(None), F.lit(None), F.lit(None), F.lit(None)).collect()
+    assert {(r.doc_id, r.language) for r in got} == {(3, "l003"), (70, "l070"), (89, "l089")}
+
+
+def test_scores_are_those_of_a_plain_scorer(spark, sf):
+    """Every distance by dynamic programming, every hit by its own scan."""
+    import re
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    lexicon = toxicity.learn_lexicon(docs, labels)
+    some = dict(sorted(lexicon.terms.items(), key=lambda x: -len(x[0]))[:6]) or {"worthless": 0.9}
+    lexicon = Lexicon(some | {"idiot": 0.8, "worthless": 0.9}, {t: 0.4 for t in [*some, "idiot", "worthless"]})
+    rows = docs.select("doc_id", "text").limit(40).collect() + docs.select("doc_id", "text").join(labels.where("toxic = 1"), "doc_id").select("doc_id", "text").limit(10).collect()
+    extra = spark.createDataFrame([(-1, "You wprthlesd idot!"), (-2, 'she said "worthless"'), (-3, None)], "doc_id long, text string")
+    rows += extra.collect()
+    memo = {}
+
+    def weight(w):
+        if w not in memo:
+            near = [(lexicon.terms[t], t) for t in lexicon.terms if abs(len(t) - len(w)) <= edits(t) and distance(w, t) <= edits(t)]
+            memo[w] = lexicon.terms.get(w) or (lexicon.spelled[max(near)[1]] if near else 0.0)
+        return memo[w]
+
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), lexicon).collect()}
+    for r in rows:
+        text, rest = (r.text or "").lower(), 1.0
+        for m in re.finditer(r"[^\W\d_]+", text):
+            rest *= 1 - weight(m[0]) * (0.5 if quoted(text, m.start(), m.end()) else 1)
+        assert abs(got[r.doc_id] - (1 - rest)) < 1e-8
+    assert got[-1] > 0.5 > got[-2] > 0
