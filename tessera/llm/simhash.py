@@ -13,6 +13,14 @@ MOST fingerprints (a very large group of near copies) is left to another exact w
 grows with their number alone: each of its fingerprints is filed under all values that differ
 from it in two bits at most. Those that lie within one bit of a value are linked with all that
 lie within two bits of it, and two fingerprints that differ in three bits meet so at some value.
+
+Three bits of one SimHash tell copies with very few changes. ``near_text_clusters`` looks for
+texts whose sets of five-word shingles have a similarity of about 0.8 or more, whatever their
+length: its fingerprint has 16 segments, each the SimHash of the six least hashes among its share
+of the shingles, so that changes leave many segments as they are. The same ring of segments
+serves, with whole segments as the differences: where at most 11 of 16 differ, some segment begins
+a chain with the budgets 0, 1, 2 and 2 for its first 1, 2, 3 and 4 segments (floor(11 l / 16)). Such a chain,
+an equal segment with another equal one among the next three, is the criterion of a link.
 """
 
 from __future__ import annotations
@@ -27,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import ship, with_labels, written
-from tessera.llm.components import connected_components
+from tessera.operators.graph import linked_components
 
 SEGMENTS = 4
 BITS = 16
@@ -35,6 +43,8 @@ BITS = 16
 BLOCK = 1 << 15
 #: Fingerprints that are compared under one key; keys with more of them that are taken out before the shuffle.
 MOST, LARGEST_KEYS = 1 << 14, 10_000
+#: Segments of the fingerprint of ``near_text_clusters``, least hashes that each is made of, and segments of a chain.
+SHARES, LEAST_HASHES, CHAIN = 16, 6, 4
 
 
 def fingerprint(text: bytes | None, width: int) -> int:
@@ -267,15 +277,98 @@ def simhash_clusters(
         "fingerprints",
     )
     points = written(rows.groupBy("fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "points")
-    roots = written(connected_components(fingerprint_links(points, max_bits, most_in_key)), "roots")
+    return _components_of(rows, points, fingerprint_links(points, max_bits, most_in_key)).select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
+        *[F.col(n).alias(c) for n, c in more.items()],
+    )
+
+
+def _components_of(rows: DataFrame, points: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` (fp, ...) with component_id, the smallest id reachable; points (fp, first_id, copies) are the distinct fingerprints."""
+    roots = written(linked_components(links), "roots")
     found = roots.join(points, roots["node"] == points["fp"]).select("root", "fp", "first_id")
     least = found.groupBy("root").agg(F.min("first_id").alias("least_id"))
     of = roots.join(least, "root").select(F.col("node").alias("fp"), "least_id")
     labels = written(points.join(of, "fp", "left").select("fp", "copies", F.coalesce("least_id", "first_id").alias("component_id")), "labels")
-    return with_labels(rows, labels, "fp", "copies").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
-        *[F.col(n).alias(c) for n, c in more.items()],
+    return with_labels(rows, labels, "fp", "copies")
+
+
+def text_segments(text: bytes | None, width: int) -> np.ndarray:
+    """The 16 segments, 32 bits each: a share of the shingles by their hash, the SimHash of the least six of it. 0: an empty share."""
+    words = (text or b"").lower().split()
+    out = np.zeros(SHARES, np.uint32)
+    if not words:
+        return out
+    digest, n = xxhash.xxh64_intdigest, max(1, len(words) - width + 1)
+    h = np.unique(np.fromiter((digest(b" ".join(words[i : i + width]), 42) for i in range(n)), np.uint64, n))
+    share = (h % np.uint64(SHARES)).astype(np.int64)
+    order = np.argsort(share, kind="stable")  # within a share from the least hash on
+    share = share[order]
+    begin = np.searchsorted(share, np.arange(SHARES))
+    rank = np.arange(len(share)) - begin[share]
+    least = rank < LEAST_HASHES
+    share, mixed = share[least], ((h[order][least] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype("<u4")
+    bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little").astype(np.int64)
+    ones, of = np.zeros((SHARES, 32), np.int64), np.bincount(share, minlength=SHARES)
+    np.add.at(ones, share, bits)
+    segments = np.packbits(ones * 2 > of[:, None], axis=1, bitorder="little").view("<u4").ravel()
+    return np.where(of > 0, segments | 1, 0).astype(np.uint32)
+
+
+def _text_fingerprints(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            segments = [text_segments(t.as_py(), width).tobytes() for t in b.column("text")]
+            rest = [n for n in b.schema.names if n != "text"]
+            fp = np.fromiter((xxhash.xxh64_intdigest(x) for x in segments), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in rest), pa.array(fp.view(np.int64)), pa.array(segments, pa.binary())], names=[*rest, "fp", "segments"])
+
+    return run
+
+
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, fp): one key for each chain that a partner could share: a segment and another of the next three, neither empty."""
+    mix, turn = np.uint64(0x9E3779B97F4A7C15), np.uint64(31)
+    for b in batches:
+        fps = b.column(0).to_numpy(zero_copy_only=False)
+        seg = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(-1, SHARES).astype(np.uint64)
+        keys, of = [], []
+        for i in range(SHARES):
+            for d in range(1, CHAIN):
+                one, two = seg[:, i], seg[:, (i + d) % SHARES]
+                both = (one != 0) & (two != 0)
+                x = ((one << np.uint64(32)) | two)[both] ^ (np.uint64(i * CHAIN + d) * mix)
+                x = (x ^ (x >> turn)) * mix  # one to one
+                keys.append((x ^ (x >> turn)).view(np.int64))
+                of.append(fps[both])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(of))], names=["key", "fp"])
+
+
+def near_text_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, carry: list[str] | None = None) -> DataFrame:
+    """(id_col, component_id, the columns in ``carry``), one row for each row of ``docs``.
+
+    Words and shingles are those of ``simhash_clusters``, as sets. Texts are linked when a chain of their segments
+    keeps its budgets (see above). Texts with the same set of shingles always link; so do all texts without a word.
+    component_id is the smallest id reachable; a row with a null id gets a component if others in it have an id, else
+    null. Repeated rows share their component; an empty table gives an empty one. Other columns are not read.
+
+    Rows that share a key are linked with one of them: a row for each, however many share it. Keys with over
+    1 / HOT_SHARES of the rows have theirs by a broadcast, and none is left out.
+    """
+    ship(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    more = {f"c{i}": c for i, c in enumerate(carry or [])}
+    given = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for n, c in more.items())
+    rows = written(
+        docs.select(F.col(id_col).alias("id"), *[F.col(c).alias(n) for n, c in more.items()], F.col(text_col).cast("string").cast("binary").alias("text"))
+        .mapInArrow(_text_fingerprints(width), f"id {kind}{given}, fp bigint, segments binary"),
+        "text-fingerprints",
     )
+    points = written(rows.groupBy("fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("segments").alias("segments")), "points")
+    keys = written(points.select("fp", "segments").mapInArrow(_chains, "key bigint, fp bigint"), "chains")
+    hubs = written(keys.groupBy("key").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "hubs")
+    links = with_labels(keys, hubs, "key", "n").where("fp != hub").select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct()
+    return _components_of(rows.drop("segments"), points.drop("segments"), links).select(F.col("id").alias(id_col), "component_id", *[F.col(n).alias(c) for n, c in more.items()])
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

@@ -5,9 +5,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm.components import connected_components
+from tessera.llm import exact_dedup as index
 from tessera.llm.exact_dedup import directory, exact_dedup, exact_groups
-from tessera.llm.simhash import fingerprint, simhash_clusters
+from tessera.llm.simhash import fingerprint, near_text_clusters, simhash_clusters, text_segments
+from tessera.operators.graph import linked_components
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma".split()
 DOCS = "doc_id long, text string, fp string, component_id string"
@@ -76,6 +77,73 @@ def test_simhash_against_brute_force(spark):
     assert simhash_clusters(docs.limit(0)).count() == 0
 
 
+def near_copies(seed=3, n=60):
+    """(texts, pairs of similarity 0.8 or more): texts of several lengths, each with copies of which some words are others."""
+    rnd = random.Random(seed)
+    vocabulary = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(900)]
+    texts = []
+    for _ in range(n):
+        base = [rnd.choice(vocabulary) for _ in range(rnd.choice([60, 150, 400, 1500, 6000]))]
+        texts.append(base)
+        for _ in range(3):
+            other = list(base)
+            for _ in range(max(1, int(len(base) * rnd.uniform(0.005, 0.025)))):
+                other[rnd.randrange(len(other))] = rnd.choice(vocabulary)
+            texts.append(other)
+    sets = [{" ".join(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    pairs = []
+    for a in range(len(texts)):
+        for b in range(a // 4 * 4, a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                pairs.append((b, a))
+    return [" ".join(t) for t in texts], pairs
+
+
+def test_near_texts_recall_and_precision(spark):
+    texts, pairs = near_copies()
+    assert len(pairs) > 150
+    docs = spark.createDataFrame([(i, t.upper() if i % 3 else t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, fp string, component_id int")
+    got = {r.doc_id: r.component_id for r in near_text_clusters(docs).collect()}
+    assert len(got) == len(texts)
+    found = sum(got[a] == got[b] for a, b in pairs) / len(pairs)
+    assert found >= 0.95, found
+    direct = [text_segments(t.encode(), 5) for t in texts]
+    alone = sum(any(direct[a][i] == direct[b][i] and any(direct[a][(i + d) % 16] == direct[b][(i + d) % 16] for d in (1, 2, 3)) for i in range(16)) for a, b in pairs) / len(pairs)
+    assert alone >= 0.9, alone  # of single pairs, without a third text that links them
+    assert all(a // 4 == b // 4 for a, b in got.items())  # unlike texts stay apart
+
+
+def test_near_texts_against_their_definition(spark):
+    rows = [*corpus(), (7, "one"), (None, "one"), (7, "one"), (None, "stands alone"), (8, "passage " * 30)]
+    got = near_text_clusters(spark.createDataFrame([(i, t, "x", "y") for i, t in rows], DOCS), carry=["text"]).collect()
+    seg = [text_segments(None if t is None else t.encode(), 5) for _, t in rows]
+
+    def linked(a, b):
+        eq = (a == b) & (a != 0)
+        return (a == b).all() or any(eq[i] and eq[(i + d) % 16] for i in range(16) for d in (1, 2, 3))
+
+    group = classes(range(len(rows)), [(a, b) for a in range(len(rows)) for b in range(a) if linked(seg[a], seg[b])])
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[group[i]] = min(d, least.get(group[i], d))
+    order = lambda x: tuple(map(str, x))
+    assert sorted([(r.doc_id, r.text, r.component_id) for r in got], key=order) == sorted([(d, t, least.get(group[i])) for i, (d, t) in enumerate(rows)], key=order)
+    assert near_text_clusters(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_segments_are_the_plain_ones():
+    rnd = random.Random(8)
+    for n in (0, 1, 4, 5, 6, 30, 900):
+        words = [rnd.choice(WORDS) for _ in range(n)]
+        hashes = sorted({xxhash.xxh64_intdigest(" ".join(words[i : i + 5]), 42) for i in range(max(1, n - 4))}) if n else []
+        want = []
+        for s in range(16):
+            least = [(h * 0x9E3779B97F4A7C15) % 2**64 >> 32 for h in hashes if h % 16 == s][:6]
+            want.append(sum(1 << i for i in range(32) if 2 * sum(x >> i & 1 for x in least) > len(least)) | 1 if least else 0)
+        assert text_segments(" ".join(words).encode(), 5).tolist() == want
+
+
 def test_links_in_a_dense_ball_of_fingerprints(spark):
     from tessera.llm import simhash
 
@@ -125,11 +193,11 @@ def test_large_keys_across_batches():
 
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 9), (9, 10), (5, 5), (None, 1)] + [(50, i) for i in range(60, 200)] + [(i, i + 1) for i in range(300, 400)]
-    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.node: r.root for r in linked_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     want = classes({x for e in edges for x in e if x is not None}, [e for e in edges if None not in e])
     assert {k: v for k, v in want.items() if k in got} == got
     assert set(want) - set(got) <= {5}
-    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert linked_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
 EXACT = [(1, "A b"), (2, "a B"), (3, "É"), (4, "é"), (5, None), (6, ""), (7, "x"), (7, "x"), (None, "x"), (None, "q"), (None, "Q"), (9, " a b")]
@@ -153,10 +221,50 @@ def test_exact_groups(spark, weak):
     assert exact_groups(docs.limit(0)).count() == 0 and exact_dedup(docs.limit(0)).count() == 0
 
 
-def test_directory_doubles():
-    slots, depth = directory([5, 0, 0, 0, 1, 1, 1, 1], 4)
-    assert depth == 3 and slots == [0, 1, 2, 2, 3, 3, 3, 3]
-    assert directory([0] * 8, 4) == ([0] * 8, 0)
+def test_directory_doubles(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    slots, depth = directory(keys, 70)
+    rows = slots.orderBy("slot").collect()
+    assert [r.slot for r in rows] == list(range(1 << depth)) and max(r.depth for r in rows) == depth
+    # A bucket is all slots that share its first bits; those of less depth than the directory have several.
+    assert all(r.bucket == r.slot >> (depth - r.depth) << 8 | r.depth for r in rows) and len({r.depth for r in rows}) > 1
+    sizes = {r.bucket: r["count"] for r in index.with_bucket(keys, slots, depth, 1 << 20).groupBy("bucket").count().collect()}
+    assert sum(sizes.values()) == 5000 and max(sizes.values()) <= 70
+    for b in sizes:  # no split was in vain: a bucket and its sibling together are too full
+        d, bits = b & 255, b >> 8
+        inside = [n for o, n in sizes.items() if (o & 255) >= d and (o >> 8) >> ((o & 255) - d) in (bits, bits ^ 1)]
+        assert d == 0 or sum(inside) > 70
+    few, depth = directory(keys.limit(3), 4)
+    assert depth == 0 and [(r.slot, r.bucket) for r in few.collect()] == [(0, 0)]
+    # keys that share their first 40 bits: no largest depth stops the doubling of what can still be split
+    assert directory(spark.range(4).select((F.col("id") * (1 << 54)).alias("h")), 1)[1] == 10
+
+
+@pytest.mark.parametrize(("broadcast", "shares"), [(1 << 20, 10_000), (0, 10_000), (1 << 20, 1)])
+def test_owners_have_whole_buckets(spark, broadcast, shares):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("Text "), (F.col("id") % 700).cast("string")).alias("text"))
+    rows, entries, _ = index.build_index(docs, capacity=20, max_broadcast=broadcast, hot_shares=shares)
+    at = {}
+    for r in entries.select("bucket", "h", "group_size", F.input_file_name().alias("file")).collect():
+        at.setdefault(r.bucket, []).append(r)
+    assert len(at) > 30 and all(len({x.h for x in v}) <= 20 for v in at.values()) and sum(len(v) for v in at.values()) == 700
+    if shares == 1:  # nothing is hot: each bucket lies in the one file of its owner
+        assert all(len({x.file for x in v}) == 1 for v in at.values())
+    got = exact_groups(docs, capacity=20, max_broadcast=broadcast, hot_shares=shares).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {
+        (i, i + 700 * ((1999 - i) // 700), len(range(i % 700, 2000, 700))) for i in range(2000)}
+
+
+def test_rows_are_found_through_the_directory_only(spark, monkeypatch):
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    whole = index.directory
+
+    def half(keys, capacity):
+        slots, depth = whole(keys, capacity)
+        return slots.where("slot % 2 = 0"), depth
+
+    monkeypatch.setattr(index, "directory", half)
+    assert 0 < exact_groups(docs, capacity=20).count() < 500
 
 
 def test_a_hot_group_of_copies(spark):

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from tessera.llm import langid, toxicity
-from tests.llm.test_dedup import classes, reference_fingerprint
+from tessera.llm.simhash import text_segments
+from tests.llm.test_dedup import classes, near_copies
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHES = {"i": 1, "toxic": "t", "id": 2, "__key": "k", "fp": 3.5, "component_id": 4, "kept": "no", "score": 0}
@@ -64,7 +65,7 @@ def test_language_stage(spark, docs, folder):
             sure = sum(told.values())
             says = np.array([math.log((told[r.lang][i] + kappa * (0.8 if x == r.lang else 0.2 / k)) / (sure[i] + kappa)) for i, x in enumerate(model.languages)])
         f = s + says + np.log(of_host)
-        if m > 0 and 1 / np.exp(f - f.max()).sum() >= 0.5:
+        if m > 0 and 1 / np.exp(f - f.max()).sum() >= 0.5 and (r.lang is None or r.lang == model.languages[int(np.argmax(f))]):
             keep.append(r)
     got = pipeline.language_id(spark, docs, folder)
     assert got.columns == docs.columns and keys(got.collect()) == keys(keep)
@@ -96,8 +97,12 @@ def test_exact_stage(spark, docs, folder):
 
 def test_near_stage(spark, docs, folder):
     rows = docs.collect()
-    fps = [reference_fingerprint(r.text) for r in rows]
-    group = classes(range(len(rows)), [(a, b) for a in range(len(rows)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3])
+    seg = np.array([text_segments((r.text or "").encode(), 5) for r in rows])
+    eq = (seg[:, None] == seg[None]) & (seg[:, None] != 0)
+    met = (seg[:, None] == seg[None]).all(axis=2)
+    for d in (1, 2, 3):
+        met |= (eq & np.roll(eq, -d, axis=2)).any(axis=2)
+    group = classes(range(len(rows)), [(a, b) for a, b in zip(*map(np.ndarray.tolist, np.nonzero(met)), strict=True) if b < a])
     least = {}
     for i, r in enumerate(rows):
         if r.doc_id is not None:
@@ -107,6 +112,26 @@ def test_near_stage(spark, docs, folder):
     assert pipeline.near(spark, docs.limit(0), folder).count() == 0
 
 
+def test_near_stage_catches_near_copies(spark, docs, folder):
+    texts, pairs = near_copies(seed=9)
+    first = docs.agg(F.max("doc_id")).first()[0] + 1
+    more = docs.limit(0).unionByName(spark.createDataFrame([(first + i, t) for i, t in enumerate(texts)], "doc_id long, text string"), allowMissingColumns=True)
+    kept = {r.doc_id for r in pipeline.near(spark, docs.union(more), folder).collect()}
+    copies = {b for _, b in pairs}
+    assert sum(first + b not in kept for b in copies) >= 0.9 * len(copies)
+    assert all(first + i in kept for i in range(0, len(texts), 4))  # the first text of each group
+
+
+def test_language_stage_drops_a_text_that_is_not_in_its_language(spark, docs, folder):
+    rows = [r for r in docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND length(text) > 500").collect()]
+    first = {lang: next(r for r in rows if r.lang == lang) for lang in sorted({r.lang for r in rows} - {"xx"})}
+    (a, one), (b, two), *_ = first.items()
+    planted = docs.where(F.col("doc_id").isin(one.doc_id, two.doc_id)).withColumn("lang", F.when(F.col("lang") == a, b).otherwise(a)).withColumn("doc_id", F.col("doc_id") + 10**9)
+    assert planted.count() >= 2
+    kept = {r.doc_id for r in pipeline.language_id(spark, docs.union(planted), folder).collect()}
+    assert not kept & {r.doc_id for r in planted.collect()} and {one.doc_id, two.doc_id} <= kept
+
+
 def test_the_whole_is_its_stages(spark, folder):
     out = pipeline.run(spark, folder).collect()
     kept = spark.read.parquet(f"{folder}/documents.parquet")
