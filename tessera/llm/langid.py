@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,12 @@ class Model:
     languages: list[str]
     logp: np.ndarray  # bucket x language
 
+    @cached_property
+    def gaps(self) -> np.ndarray:
+        """[a, b]: by how much a trigram of a text in a is likelier in a than in b, in logarithms, on average."""
+        p = np.exp(self.logp)
+        return (p * self.logp).sum(axis=0)[:, None] - p.T @ self.logp
+
 
 def histogram(text: str | None) -> np.ndarray:
     """Counts of the hashed byte trigrams of the letters; runs of anything else are one space."""
@@ -94,11 +101,25 @@ def text_scores(h: np.ndarray, model: Model) -> np.ndarray:
     return (h @ model.logp) / n * min(n, TEXT_MOST) * TEXT_WEIGHT
 
 
+def foreign_share(h: np.ndarray, model: Model, declared: str | None) -> float:
+    """How far a text is from its declared language: about 1 where all of it is in another, 0 and less where none or half is.
+
+    The mean gap of its trigrams' log-likelihoods, of the language that fits best over the declared one, as a
+    share of the gap that a text of the former has on average. 0 without a trigram or a known declared language.
+    """
+    n, known = int(h.sum()), [x.lower() for x in model.languages]
+    if not n or declared not in known:
+        return 0.0
+    fit = h @ model.logp / n
+    d, best = known.index(declared), int(np.argmax(fit))
+    return float((fit[best] - fit[d]) / model.gaps[best, d]) if model.gaps[best, d] > 0 else 0.0
+
+
 def identify(
     rows: DataFrame, model: Model, id_col: str, text_col: str, declared: Column | None, host: Column, domain: Column, suffix: Column,
     markup: bool = False, least: float = 0.5,
 ) -> DataFrame:
-    """(id_col, language, confidence, declared, host, n_trigrams, accepted), one row for each row.
+    """(id_col, language, confidence, declared, host, n_trigrams, accepted, foreign), one row for each row; see ``foreign_share``.
 
     With ``markup`` the texts are HTML: their visible text is told, and where ``declared`` is None the lang
     attribute of their html element is the declared language. A text without letters in a host without evidence has the prior's language; it is
@@ -113,7 +134,7 @@ def identify(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores, sizes, says = [], [], b.column(2).to_pylist()
+            scores, sizes, foreign, says = [], [], [], b.column(2).to_pylist()
             for i, t in enumerate(b.column(1)):
                 text = t.as_py()
                 if markup and text:
@@ -123,20 +144,21 @@ def identify(
                 h = histogram(text)
                 scores.append(text_scores(h, model).tolist())
                 sizes.append(int(h.sum()))
+                foreign.append(foreign_share(h, model, says[i]))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(says, pa.string()), b.column(3), b.column(4), b.column(5), pa.array(scores, pa.list_(pa.float64())), pa.array(sizes, pa.int64())],
-                names=["id", "declared", "host", "domain", "suffix", "s", "n"],
+                [b.column(0), pa.array(says, pa.string()), b.column(3), b.column(4), b.column(5), pa.array(scores, pa.list_(pa.float64())), pa.array(sizes, pa.int64()), pa.array(foreign, pa.float64())],
+                names=["id", "declared", "host", "domain", "suffix", "s", "n", "foreign"],
             )
 
     none = F.lit("")
     scored = rows.select(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (F.lit(None).cast("string") if declared is None else F.lower(declared.cast("string"))).alias("declared"),
         F.coalesce(host.cast("string"), none).alias("host"), F.coalesce(domain.cast("string"), none).alias("domain"), F.coalesce(suffix.cast("string"), none).alias("suffix"),
-    ).mapInArrow(run, f"id {kind}, declared string, host string, domain string, suffix string, s array<double>, n long")
+    ).mapInArrow(run, f"id {kind}, declared string, host string, domain string, suffix string, s array<double>, n long, foreign double")
     if not langs:
         return scored.select(
             F.col("id").alias(id_col), F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), "declared", "host",
-            F.col("n").alias("n_trigrams"), F.lit(False).alias("accepted"))
+            F.col("n").alias("n_trigrams"), F.lit(False).alias("accepted"), "foreign")
     scored = written(scored, "text-evidence")
     k = range(len(langs))
     # What the text alone says, as shares; texts without a trigram say nothing.
@@ -177,7 +199,7 @@ def identify(
     names = F.array(*[F.lit(x) for x in langs])
     return fused.select(
         F.col("id").alias(id_col), names[F.array_position("f", F.col("best")).cast("int") - 1].alias("language"), F.round("confidence", 6).alias("confidence"),
-        "declared", "host", F.col("n").alias("n_trigrams"), ((F.col("n") > 0) & (F.col("confidence") >= least)).alias("accepted"))
+        "declared", "host", F.col("n").alias("n_trigrams"), ((F.col("n") > 0) & (F.col("confidence") >= least)).alias("accepted"), "foreign")
 
 
 def address_parts(url: Column) -> tuple[Column, Column, Column]:

@@ -337,7 +337,7 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for d in range(1, CHAIN):
                 one, two = seg[:, i], seg[:, (i + d) % SHARES]
                 both = (one != 0) & (two != 0)
-                x = ((one << np.uint64(32)) | two)[both] ^ (np.uint64(i * CHAIN + d) * mix)
+                x = ((one << np.uint64(32)) | two)[both] ^ (np.uint64((i * CHAIN + d) * 0x9E3779B97F4A7C15 % 2**64))
                 x = (x ^ (x >> turn)) * mix  # one to one
                 keys.append((x ^ (x >> turn)).view(np.int64))
                 of.append(fps[both])

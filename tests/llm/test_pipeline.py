@@ -56,8 +56,8 @@ def test_language_stage(spark, docs, folder):
     prior = (share.sum(axis=0) + 1) / (share.sum() + k)
     host = [r.source or "" for r in rows]
     keep = []
-    for r, s, m, h in zip(rows, scores, n, host, strict=True):
-        own = share[[x == h for x in host]].sum(axis=0)
+    for r, s, m, at, h in zip(rows, scores, n, host, counts, strict=True):
+        own = share[[x == at for x in host]].sum(axis=0)
         of_host = (own + kappa * (own + kappa * prior) / (own.sum() + kappa)) / (own.sum() + kappa) if own.sum() > 0 else prior
         says = np.zeros(k)
         if r.lang and any(x.lang == r.lang and c > 0 for x, c in zip(rows, n, strict=True)) and r.lang in model.languages:
@@ -65,7 +65,7 @@ def test_language_stage(spark, docs, folder):
             sure = sum(told.values())
             says = np.array([math.log((told[r.lang][i] + kappa * (0.8 if x == r.lang else 0.2 / k)) / (sure[i] + kappa)) for i, x in enumerate(model.languages)])
         f = s + says + np.log(of_host)
-        if m > 0 and 1 / np.exp(f - f.max()).sum() >= 0.5 and (r.lang is None or r.lang == model.languages[int(np.argmax(f))]):
+        if m > 0 and 1 / np.exp(f - f.max()).sum() >= 0.5 and langid.foreign_share(h, model, r.lang) < pipeline.FOREIGN:
             keep.append(r)
     got = pipeline.language_id(spark, docs, folder)
     assert got.columns == docs.columns and keys(got.collect()) == keys(keep)
@@ -122,6 +122,16 @@ def test_near_stage_catches_near_copies(spark, docs, folder):
     assert all(first + i in kept for i in range(0, len(texts), 4))  # the first text of each group
 
 
+def test_foreign_share_of_whole_and_mixed_texts():
+    rng = np.random.default_rng(2)
+    p = rng.dirichlet(np.full(langid.BUCKETS, 0.05), 2).T + 1e-7
+    model = langid.Model(["aa", "bb"], np.log(p / p.sum(axis=0)))
+    a, b = (rng.multinomial(4000, np.exp(model.logp[:, i]) / np.exp(model.logp[:, i]).sum()) for i in (0, 1))
+    assert 0.9 < langid.foreign_share(a, model, "bb") < 1.1 and langid.foreign_share(a, model, "aa") == 0
+    assert langid.foreign_share(a + b, model, "bb") < 0.3 and langid.foreign_share(a * 9 + b, model, "bb") > 0.7
+    assert langid.foreign_share(a, model, "xx") == langid.foreign_share(a, model, None) == langid.foreign_share(a * 0, model, "bb") == 0
+
+
 def test_language_stage_drops_a_text_that_is_not_in_its_language(spark, docs, folder):
     rows = [r for r in docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND length(text) > 500").collect()]
     first = {lang: next(r for r in rows if r.lang == lang) for lang in sorted({r.lang for r in rows} - {"xx"})}
