@@ -72,3 +72,64 @@ def triangle_angles(ax: Column, ay: Column, bx: Column, by: Column, cx: Column,
         return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))))
 
     return [at(a, b, c), at(b, a, c), at(c, a, b)]
+
+
+def clamp(v: Column, low, high) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), v))
+
+
+def true_modulo(v: Column, n: int) -> Column:
+    """0 to n - 1, of negative numbers too."""
+    return F.pmod(v, F.lit(n))
+
+
+def stride(step: int, size: int) -> Column:
+    return F.lit(step * size)
+
+
+def reverse_direction(d: Column) -> Column:
+    """Of the six directions 0 to 5 that whose number adds up with it to 5."""
+    return F.lit(5) - d
+
+
+def product(factors: list[Column]) -> Column:
+    out = factors[0]
+    for f in factors[1:]:
+        out = out * f
+    return out
+
+
+def pulse(t: Column, middle: float, width: float, omega: float) -> tuple[Column, Column]:
+    """Real and imaginary part of a Gaussian pulse: its size and its angle in time."""
+    size = F.exp(-(t - middle) * (t - middle) / F.lit(width))
+    return size * F.cos(F.lit(omega) * t), size * F.sin(F.lit(omega) * t)
+
+
+def complex_divide(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Column]:
+    """(a + bi) / (c + di)"""
+    size = c * c + d * d
+    return (a * c + b * d) / size, (b * c - a * d) / size
+
+
+def bilinear(c00: Column, c10: Column, c01: Column, c11: Column, dx: float, dy: float) -> Column:
+    """The plane through four children, dx and dy from their middle in units of their spacing."""
+    mx, my = ((c10 - c00) + (c11 - c01)) / 2, ((c01 - c00) + (c11 - c10)) / 2
+    return (c00 + c10 + c01 + c11) / 4 + mx * F.lit(dx) + my * F.lit(dy)
+
+
+def circumcentre(a: tuple, b: tuple, c: tuple) -> tuple[Column, Column]:
+    sq = [p[0] * p[0] + p[1] * p[1] for p in (a, b, c)]
+    d = 2 * (a[0] * (b[1] - c[1]) + b[0] * (c[1] - a[1]) + c[0] * (a[1] - b[1]))
+    x = (sq[0] * (b[1] - c[1]) + sq[1] * (c[1] - a[1]) + sq[2] * (a[1] - b[1])) / d
+    return x, (sq[0] * (c[0] - b[0]) + sq[1] * (a[0] - c[0]) + sq[2] * (b[0] - a[0])) / d
+
+
+def in_circle(a: tuple, b: tuple, c: tuple, p: tuple) -> Column:
+    ox, oy = circumcentre(a, b, c)
+    return (p[0] - ox) * (p[0] - ox) + (p[1] - oy) * (p[1] - oy) < (a[0] - ox) * (a[0] - ox) + (a[1] - oy) * (a[1] - oy)
+
+
+def common_cell(corners: str, width: int, n: int) -> Column:
+    """The cell of an n x n grid that holds all corners (an array of x, y), else -1; corners beyond the last cell count to it."""
+    cell = F.transform(corners, lambda p: clamp(F.floor(p["x"] / width), 0, n - 1) * n + clamp(F.floor(p["y"] / width), 0, n - 1))
+    return F.when(F.array_size(F.array_distinct(cell)) == 1, F.get(cell, F.lit(0))).otherwise(F.lit(-1))

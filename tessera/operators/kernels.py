@@ -83,3 +83,177 @@ def lu_product(factors: DataFrame) -> DataFrame:
     left = cells.where("k < rank").select("id", "k", "x").union(factors.select("id", F.col("rank"), F.lit(1.0)))
     right = cells.where("k >= rank").select(F.col("rank").alias("k"), F.col("k").alias("j"), F.col("x").alias("y"))
     return left.join(right, "k").groupBy(F.col("id").alias("i"), "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+
+
+def circuit(nodes: DataFrame, wires: DataFrame, substep: str, steps: int, substeps: int, segments: int, dt: float, leak: float) -> DataFrame:
+    """(ptr, v) after ``steps`` steps. Wires (id, a, b, r, i0.., v1..) take the voltages of both ends, run ``substeps`` steps within
+    (``substep`` is their select list) and give the charge of their outer segments to both ends. Each step's tables are made from the last one's."""
+    from tessera.operators.launch import reduce_into
+
+    for s in range(steps):
+        ends = wires.join(nodes.toDF("a", "v0"), "a").join(nodes.toDF("b", f"v{segments}"), "b")
+        for _ in range(substeps):
+            ends = ends.selectExpr(*_split(substep))
+        wires = ends.drop("v0", f"v{segments}")
+        if s + 1 < steps:
+            wires = written(wires, "wires")  # two tables in turn: the next step reads the one and makes another
+        charge = wires.select(F.explode(F.array(
+            F.struct(F.col("a").alias("p"), (F.col("i0") * F.lit(-dt)).alias("q")), F.struct(F.col("b").alias("p"), (F.col(f"i{segments - 1}") * F.lit(dt)).alias("q")))).alias("c")).select("c.p", "c.q")
+        nodes = reduce_into(nodes, "ptr", "v", charge, "p", F.col("q")).withColumn("v", F.col("v") * (1 - leak))
+    return nodes
+
+
+def _split(selected: str) -> list[str]:
+    """A select list by the commas outside of parentheses."""
+    out, depth, start = [], 0, 0
+    for i, ch in enumerate(selected):
+        depth += (ch == "(") - (ch == ")")
+        if ch == "," and not depth:
+            out.append(selected[start:i].strip())
+            start = i + 1
+    return [*out, selected[start:].strip()]
+
+
+def settle(nodes: DataFrame, wires: DataFrame, rate: float, least: float, most: int = 10_000) -> DataFrame:
+    """(ptr, v) once no voltage moves by ``least`` or more in a step. Wires (a, b, r) drive a current by the voltage between their ends;
+    the capacity of a node is the sum of its wires' conductances, so a rate of up to 1 is stable.
+
+    Raises ArithmeticError if that isn't so after ``most`` steps, as with a rate above 1.
+    """
+    both = written(wires.select("a", "b", "r").union(wires.select("b", "a", "r")).groupBy("a", "b").agg(F.sum(1 / F.col("r")).alias("g")), "conductances")
+    for step in range(most):
+        flow = both.join(nodes.toDF("b", "vb"), "b").join(nodes.toDF("a", "va"), "a").groupBy(F.col("a").alias("ptr")).agg((F.sum((F.col("vb") - F.col("va")) * F.col("g")) / F.sum("g")).alias("i"))
+        new = nodes.join(flow, "ptr", "left").select("ptr", (F.col("v") + rate * F.coalesce("i", F.lit(0.0))).alias("v"), (rate * F.coalesce("i", F.lit(0.0))).alias("moved"))
+        new = written(new, "voltages")
+        nodes = new.select("ptr", "v")
+        if (new.agg(F.max(F.abs("moved"))).first()[0] or 0.0) < least:
+            return nodes
+    raise ArithmeticError(f"voltages still move after {most} steps")
+
+
+def tree_search(roots: DataFrame, width: int, q: float) -> DataFrame:
+    """(node, depth) of all nodes below ``roots``: levels are made until one is empty, and each is written."""
+    level = written(roots.select("node", F.lit(0).alias("depth")), "level")
+    levels = level
+    while not level.isEmpty():
+        children = F.explode(F.array(*[F.lit(k) for k in range(width)]))
+        below = level.where(uts_has_children(F.col("node"), q)).withColumn("k", children).select(uts_child(F.col("node"), F.col("k")).alias("node"), (F.col("depth") + 1).alias("depth"))
+        level = written(below, "level")
+        levels = levels.union(level)
+    return levels
+
+
+def _with_ends(points: DataFrame, pairs: DataFrame, rest: list[str]) -> DataFrame:
+    return pairs.join(points.select(F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in rest]), "a").join(points.select(F.col("id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in rest]), "b")
+
+
+def sph_density(points: DataFrame, h: float, factor: float) -> DataFrame:
+    """(id, rho): factor x (h^6 + the sum of (h^2 - r^2)^3 over the neighbours within h)."""
+    near = _with_ends(points, neighbours(points, h), list("xyz"))
+    d2 = reduce(lambda a, b: a + b, [(F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in "xyz"])
+    part = F.lit(h * h) - d2
+    sums = near.select(F.explode(F.array("a", "b")).alias("id"), (part * part * part).alias("t")).groupBy("id").agg(F.sum("t").alias("t"))
+    return points.select("id").join(sums, "id", "left").select("id", (F.lit(factor) * (F.coalesce("t", F.lit(0.0)) + h**6)).alias("rho"))
+
+
+def sph_advance(points: DataFrame, h: float, factor: float, pressure: float, rest: float, dt: float, gravity: float = 9.8) -> DataFrame:
+    """(id, x, y, z) after a step from rest: pressure pushes the two of each pair apart, gravity pulls along z."""
+    dense = points.join(sph_density(points, h, factor), "id")
+    near = _with_ends(dense, neighbours(points, h), ["x", "y", "z", "rho"])
+    d2 = reduce(lambda a, b: a + b, [(F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in "xyz"])
+    far = F.greatest(F.sqrt(d2), F.lit(1e-12))
+    k = pressure * (h - far) * (h - far) / far * (F.col("a_rho") + F.col("b_rho") - 2 * rest) / (F.col("a_rho") * F.col("b_rho"))
+    push = [k * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in "xyz"]
+    both = near.select(F.explode(F.array(
+        F.struct(F.col("a").alias("id"), *[p.alias(f"f{c}") for c, p in zip("xyz", push, strict=True)]), F.struct(F.col("b").alias("id"), *[(-p).alias(f"f{c}") for c, p in zip("xyz", push, strict=True)]))).alias("f")).select("f.*")
+    force = both.groupBy("id").agg(*[F.sum(f"f{c}").alias(f"f{c}") for c in "xyz"])
+    moved = lambda c: F.col(c) + dt * dt * (F.coalesce(F.col(f"f{c}"), F.lit(0.0)) - (gravity if c == "z" else 0.0))
+    return points.join(force, "id", "left").select("id", *[moved(c).alias(c) for c in "xyz"])
+
+
+def heat_step(cells: DataFrame, k: float) -> DataFrame:
+    """(x, y, v): each face between two cells carries k times their difference, from the warmer to the colder one."""
+    faces = cells.withColumn("d", F.explode(F.array(F.struct(F.lit(1).alias("dx"), F.lit(0).alias("dy")), F.struct(F.lit(0).alias("dx"), F.lit(1).alias("dy")))))
+    faces = faces.select("x", "y", "v", (F.col("x") + F.col("d.dx")).alias("ox"), (F.col("y") + F.col("d.dy")).alias("oy")).join(cells.toDF("ox", "oy", "ov"), ["ox", "oy"])
+    flux = F.lit(k) * (F.col("ov") - F.col("v"))
+    both = faces.select(F.explode(F.array(F.struct("x", "y", flux.alias("f")), F.struct(F.col("ox").alias("x"), F.col("oy").alias("y"), (-flux).alias("f")))).alias("e")).select("e.*")
+    return cells.join(both.groupBy("x", "y").agg(F.sum("f").alias("f")), ["x", "y"], "left").select("x", "y", (F.col("v") + F.coalesce("f", F.lit(0.0))).alias("v"))
+
+
+def restrict(cells: DataFrame, axes: list[str]) -> DataFrame:
+    """(axes, v, n): coarse cells, each the average of its children, two along each axis."""
+    return cells.groupBy(*[F.floor(F.col(a) / 2).alias(a) for a in axes]).agg(F.avg("v").alias("v"), F.count(F.lit(1)).alias("n"))
+
+
+def fdtd(fields: DataFrame, dtdx: float, steps: int) -> DataFrame:
+    """(id, x, y, z, ex.. hz) after ``steps`` steps: H by the curl of E ahead, then E by the curl of H behind. Windows run along single lines of the grid."""
+    from pyspark.sql import Window
+
+    for _ in range(steps):
+        for own, other, shift, sign in (("h", "e", F.lead, 1), ("e", "h", F.lag, -1)):
+            def slope(axis: str, along: str, other=other, shift=shift, sign=sign):
+                g = F.col(other + axis)
+                line = Window.partitionBy(*[c for c in "xyz" if c != along]).orderBy(along)
+                return sign * (F.coalesce(shift(g).over(line), g) - g)
+
+            new = {}
+            for i, c in enumerate("xyz"):
+                a, b = "xyz"[(i + 1) % 3], "xyz"[(i + 2) % 3]
+                new[own + c] = F.col(own + c) + F.lit(dtdx) * (slope(b, a) - slope(a, b))
+            fields = fields.withColumns(new)
+    return fields
+
+
+def histogram(rows: DataFrame, buckets: int, strategy: str) -> DataFrame:
+    """(bucket, n) for all buckets, by one of the ways to reduce: direct, list or single. All give the same rows."""
+    zero = rows.sparkSession.range(buckets).select(F.col("id").alias("bucket"), F.lit(0).cast("long").alias("n"))
+    if strategy == "single":
+        # An array of counts for each part of the rows, then the sum of each slot.
+        part = rows.groupBy(F.spark_partition_id().alias("part"), "bucket").agg(F.count(F.lit(1)).alias("c")).groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "c"))).alias("m"))
+        added = part.select(F.explode("m").alias("bucket", "c")).groupBy("bucket").agg(F.sum("c").alias("c"))
+    elif strategy in ("direct", "list"):
+        log = rows.select("bucket", F.lit(1).cast("long").alias("c"))
+        if strategy == "list":
+            log = written(log, "reduction-list")
+        added = log.groupBy("bucket").agg(F.sum("c").alias("c"))
+    else:
+        raise ValueError(f"no strategy {strategy!r}")
+    return zero.join(added, "bucket", "left").select("bucket", (F.col("n") + F.coalesce("c", F.lit(0))).alias("n"))
+
+
+def reduction_copy(src: DataFrame, src_kind: str, dst: DataFrame, dst_kind: str) -> DataFrame:
+    """(ptr, v): sums of one instance put into another. A list keeps every entry, a fold one for each pointer, a normal instance its own rows."""
+    if dst_kind == "list":
+        if src_kind != "list":
+            raise ValueError("only a list is appended to a list")
+        return dst.unionByName(src)
+    add = src.groupBy("ptr").agg(F.sum("v").alias("v"))
+    if dst_kind == "fold":
+        return dst.unionByName(add).groupBy("ptr").agg(F.sum("v").alias("v"))
+    return dst.join(add.withColumnRenamed("v", "d"), "ptr", "left").select("ptr", (F.col("v") + F.coalesce("d", F.lit(0))).alias("v"))
+
+
+def sample_sort(rows: DataFrame, key: str, tie: str, bins: int = 64) -> DataFrame:
+    """``rows`` with ``place`` from 1 on by key and tie. Splitters are quantiles of the key told by a sketch of bounded size; rows are counted by
+    bin, a bin begins after all rows of those before it, and places within it are told by a window over the bin alone."""
+    from pyspark.sql import Window
+
+    splitters = rows.stat.approxQuantile(key, [i / bins for i in range(1, bins)], 0.001)
+    bin_of = F.lit(0)
+    for s in sorted(set(splitters)):
+        bin_of = bin_of + (F.col(key) > s).cast("int")
+    binned = rows.withColumn("bin", bin_of)
+    sizes = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))  # bins rows
+    first = sizes.select("bin", F.coalesce(F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    within = F.row_number().over(Window.partitionBy("bin").orderBy(key, tie))
+    return binned.withColumn("k", within).join(F.broadcast(first), "bin").select(*rows.columns, (F.col("first") + F.col("k")).alias("place"))
+
+
+def ghost_cells(grid: DataFrame, width: int, size: int) -> DataFrame:
+    """(id, bx, byy, bz, dx, dy, dz): cells of a block that stand at its border towards the block in direction (dx, dy, dz)."""
+    step = F.array(*[F.lit(v) for v in (-1, 0, 1)])
+    around = grid.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step)).withColumn("dz", F.explode(step)).where("dx <> 0 OR dy <> 0 OR dz <> 0")
+    for c in "xyz":
+        there = F.col(c) + F.col(f"d{c}")
+        around = around.where((F.floor(there / width) == F.floor(F.col(c) / width) + F.col(f"d{c}")) & there.between(0, size - 1))
+    return around.select("id", *[F.floor(F.col(c) / width).alias(n) for c, n in zip("xyz", ("bx", "byy", "bz"), strict=True)], "dx", "dy", "dz")

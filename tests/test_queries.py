@@ -28,6 +28,9 @@ def test_query(spark, sf, duck, name):
     df = registry.queries()[name](spark, sf)
     cols = sorted(df.columns)
     got = sorted([tuple(plain(r[c]) for c in cols) for r in df.collect()], key=str)
+    if name not in registry.oracle_sql():
+        assert got, "tested in a file of its own"
+        return
     found = duck.execute(registry.oracle_sql()[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == cols
