@@ -225,10 +225,10 @@ def deferred_copy(t, spark):
     return L.overlay(c, src, "c_custkey", "c_acctbal", F.col("c_mktsegment") == "BUILDING")
 
 
-@query("SELECT l_orderkey, l_partkey, p_brand, s_name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 45")
+@query("SELECT l_orderkey, l_partkey, p_brand, s_name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey")
 def pointer_dereference(t, spark):
     return (
-        t("lineitem").where("l_quantity > 45").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .select("l_orderkey", "l_partkey", "p_brand", "s_name")
     )
 

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["queries_regions", "queries_traces", "queries_kernels", "queries_language", "queries_placement", "queries_graph", "queries_steps"]
+MODULES = ["queries_regions", "queries_traces", "queries_kernels", "queries_language", "queries_placement", "queries_graph", "queries_steps", "queries_surface"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
