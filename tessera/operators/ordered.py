@@ -10,16 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_sums(df: DataFrame, chunk: Column, order: list, sums: dict[str, Column], exclusive: bool = False) -> DataFrame:
-    """``df`` with a running sum for each entry of ``sums``; chunk must not fall along the order."""
-    local = Window.partitionBy("__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+def running_sums(df: DataFrame, chunk: Column, order: list, sums: dict[str, Column], exclusive: bool = False, by: list[str] | None = None) -> DataFrame:
+    """``df`` with a running sum for each entry of ``sums``, within equal columns ``by`` (never null); chunk must not fall along the order."""
+    by = by or []
+    local = Window.partitionBy(*by, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     rows = df.withColumn("__chunk", chunk)
     for name, value in sums.items():
         rows = rows.withColumn(f"__v_{name}", value)
-    before = Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("__chunk").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
-    offsets = totals.select("__chunk", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums])
-    out = rows.select("*", *[F.coalesce(F.sum(f"__v_{n}").over(local), F.lit(0)).alias(f"__l_{n}") for n in sums]).join(offsets, "__chunk")
+    before = Window.partitionBy(*by).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*by, "__chunk").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
+    offsets = totals.select(*by, "__chunk", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums])
+    out = rows.select("*", *[F.coalesce(F.sum(f"__v_{n}").over(local), F.lit(0)).alias(f"__l_{n}") for n in sums]).join(offsets, [*by, "__chunk"])
     for n in sums:
         out = out.withColumn(n, F.col(f"__l_{n}") + F.col(f"__o_{n}"))
     return out.drop("__chunk", *[f"__{k}_{n}" for n in sums for k in "vlo"])

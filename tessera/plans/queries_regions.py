@@ -315,10 +315,10 @@ def sample_sort_offsets(t, spark):
 
 @query("SELECT o_custkey % 16 AS bin, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey % 16 ORDER BY o_orderkey) - 1 AS INTEGER) AS slot FROM orders")
 def slot_assignment(t, spark):
-    from pyspark.sql import Window
-
-    bin_ = F.col("o_custkey") % 16
-    return t("orders").select(bin_.alias("bin"), "o_orderkey", (F.row_number().over(Window.partitionBy(bin_).orderBy("o_orderkey")) - 1).alias("slot"))
+    """Bins are few and each holds many rows, so slots are counted in chunks of a bin's keys."""
+    rows = t("orders").select((F.col("o_custkey") % 16).alias("bin"), "o_orderkey")
+    slots = running_sums(rows, F.shiftright("o_orderkey", 20), ["o_orderkey"], {"slot": F.lit(1)}, exclusive=True, by=["bin"])
+    return slots.withColumn("slot", F.col("slot").cast("int"))
 
 
 @query("SELECT p_name || CASE WHEN k = 1 THEN '' ELSE '(' || k || ')' END AS label, p_partkey FROM (SELECT p_name, p_partkey, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS k FROM part)")
