@@ -20,7 +20,10 @@ length: its fingerprint has 16 segments, each the SimHash of the six least hashe
 of the shingles, so that changes leave many segments as they are. The same ring of segments
 serves, with whole segments as the differences: where at most 11 of 16 differ, some segment begins
 a chain with the budgets 0, 1, 2 and 2 for its first 1, 2, 3 and 4 segments (floor(11 l / 16)). Such a chain,
-an equal segment with another equal one among the next three, is the criterion of a link.
+an equal segment with another equal one among the next three, makes two texts candidates. Short texts
+and texts that quote one passage meet so too without being alike, so the whole Hamming distance of
+the 512 bits decides: DISTANCE at most. What meets under a key is tested against one of them, the hub;
+those that are too far from it are tested against each other.
 """
 
 from __future__ import annotations
@@ -45,6 +48,8 @@ BLOCK = 1 << 15
 MOST, LARGEST_KEYS = 1 << 14, 10_000
 #: Segments of the fingerprint of ``near_text_clusters``, least hashes that each is made of, and segments of a chain.
 SHARES, LEAST_HASHES, CHAIN = 16, 6, 4
+#: Differing bits of those 16 segments of 32 bits (99 of 100 candidates of similarity 0.8 to 0.85 have no more), and rows far from their hub that one block of a key holds.
+DISTANCE, FAR_BLOCK = 90, 1024
 
 
 def fingerprint(text: bytes | None, width: int) -> int:
@@ -344,16 +349,92 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(of))], names=["key", "fp"])
 
 
-def near_text_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, carry: list[str] | None = None) -> DataFrame:
+def _words(segments: pa.Array) -> np.ndarray:
+    """The fingerprints as rows of eight 64-bit words."""
+    return np.frombuffer(b"".join(segments.to_pylist()), "<u8").reshape(-1, SHARES // 2)
+
+
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v, near) for pairs and their fingerprints (u, v, a, b): the full Hamming check."""
+    for b in batches:
+        near = np.bitwise_count(_words(b.column("a")) ^ _words(b.column("b"))).sum(axis=1) <= DISTANCE
+        yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(near)], names=["u", "v", "near"])
+
+
+def _near_within(fp: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what is near in a group, one at most for each row."""
+    label = np.arange(len(fp))
+    for i in range(1, len(fp)):
+        met = np.unique(label[:i][np.bitwise_count(words[:i] ^ words[i]).sum(axis=1) <= DISTANCE])
+        if len(met):
+            label[i] = met[0]
+            if len(met) > 1:
+                label[np.isin(label, met)] = met[0]
+    moved = label != np.arange(len(fp))
+    return fp[moved], fp[label[moved]]
+
+
+def _far_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v): the links within each group of rows (grp, fp, segments) that come sorted by it."""
+    group, fp, words = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, SHARES // 2), np.uint64)
+
+    def flush(to: int) -> pa.RecordBatch:
+        bounds = [0, *(np.flatnonzero(group[1:to] != group[: to - 1]) + 1).tolist(), to]
+        found = [_near_within(fp[a:b], words[a:b]) for a, b in zip(bounds, bounds[1:]) if b - a > 1]
+        ends = [np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in ends], names=["u", "v"])
+
+    for b in batches:
+        group = np.concatenate((group, b.column(0).to_numpy(zero_copy_only=False)))
+        fp = np.concatenate((fp, b.column(1).to_numpy(zero_copy_only=False)))
+        words = np.concatenate((words, _words(b.column(2))))
+        cut = int(np.searchsorted(group, group[-1])) if len(group) else 0  # the last group may go on in the next batch
+        if cut:
+            yield flush(cut)
+            group, fp, words = group[cut:], fp[cut:], words[cut:]
+    if len(group):
+        yield flush(len(group))
+
+
+def _near_links(points: DataFrame, far_block: int) -> DataFrame:
+    """(u, v): links between distinct fingerprints (fp, segments) that share a chain and are near; see ``near_text_clusters``."""
+    segments = points.select("fp", "segments")
+    keys = written(segments.mapInArrow(_chains, "key bigint, fp bigint"), "chains")
+    # Four orders of the fingerprints: the keys of a group of copies give it few hubs, those of other groups others.
+    first = F.min(F.struct(F.xxhash64(F.pmod("key", F.lit(4)), "fp").alias("h"), "fp"))["fp"]
+    hubs = written(keys.groupBy("key").agg(first.alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "hubs")
+    met = written(with_labels(keys, hubs, "key", "n").where("fp != hub"), "met")
+    pairs = written(met.select("fp", "hub").distinct().join(segments, "fp").select(F.col("fp").alias("u"), F.col("hub").alias("v"), F.col("segments").alias("a")), "pairs")
+    ends = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n")).join(segments.select(F.col("fp").alias("v"), F.col("segments").alias("b")), "v")
+    tested = written(with_labels(pairs, written(ends, "ends"), "v", "n").select("u", "v", "a", "b").mapInArrow(_distances, "u bigint, v bigint, near boolean"), "tested")
+    links, far = tested.where("near").select("u", "v"), tested.where("NOT near").select(F.col("u").alias("fp"), F.col("v").alias("hub"))
+    rest = written(met.join(far, ["fp", "hub"], "left_semi").select("key", "fp"), "far")
+    blocks = F.ceil(F.count(F.lit(1)) / far_block).cast("int")
+    many = written(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), blocks.alias("blocks")).where("n > 1"), "far-keys")
+    if many.isEmpty():
+        return links
+    # A key of several blocks: every two of them meet in a group, so none has more than two blocks of rows.
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    dealt = with_labels(rest, many, "key", "n").select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "fp").join(segments, "fp").select("grp", "fp", "segments")
+    return links.union(dealt.repartition("grp").sortWithinPartitions("grp").mapInArrow(_far_links, "u bigint, v bigint"))
+
+
+def near_text_clusters(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, carry: list[str] | None = None, far_block: int = FAR_BLOCK,
+) -> DataFrame:
     """(id_col, component_id, the columns in ``carry``), one row for each row of ``docs``.
 
-    Words and shingles are those of ``simhash_clusters``, as sets. Texts are linked when a chain of their segments
-    keeps its budgets (see above). Texts with the same set of shingles always link; so do all texts without a word.
-    component_id is the smallest id reachable; a row with a null id gets a component if others in it have an id, else
-    null. Repeated rows share their component; an empty table gives an empty one. Other columns are not read.
+    Words and shingles are those of ``simhash_clusters``, as sets. Texts are candidates when a chain of their segments
+    keeps its budgets, and are linked when all 512 bits differ in DISTANCE at most (see above). Texts with the same set
+    of shingles always link; so do all texts without a word. component_id is the smallest id reachable; a row with a
+    null id gets a component if others in it have an id, else null. Repeated rows share their component; an empty
+    table gives an empty one. Other columns are not read.
 
-    Rows that share a key are linked with one of them: a row for each, however many share it. Keys with over
-    1 / HOT_SHARES of the rows have theirs by a broadcast, and none is left out.
+    Rows that share a key are tested against one of them, its hub, however many they are: hot keys have theirs by a
+    broadcast. Rows of a key that are too far from its hub are tested against each other, in blocks of about
+    ``far_block``. So under one key a row that is near the hub isn't tested against one that isn't; under
+    another key, with another hub, it may be.
     """
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -365,9 +446,7 @@ def near_text_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "text-fingerprints",
     )
     points = written(rows.groupBy("fp").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("segments").alias("segments")), "points")
-    keys = written(points.select("fp", "segments").mapInArrow(_chains, "key bigint, fp bigint"), "chains")
-    hubs = written(keys.groupBy("key").agg(F.min("fp").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "hubs")
-    links = with_labels(keys, hubs, "key", "n").where("fp != hub").select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct()
+    links = _near_links(points, far_block)
     return _components_of(rows.drop("segments"), points.drop("segments"), links).select(F.col("id").alias(id_col), "component_id", *[F.col(n).alias(c) for n, c in more.items()])
 
 

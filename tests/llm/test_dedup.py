@@ -99,6 +99,12 @@ def near_copies(seed=3, n=60):
     return [" ".join(t) for t in texts], pairs
 
 
+def near_by_definition(a, b):
+    eq = (a == b) & (a != 0)
+    chain = any(eq[i] and eq[(i + d) % 16] for i in range(16) for d in (1, 2, 3))
+    return (a == b).all() or (chain and sum(int(x).bit_count() for x in a ^ b) <= 90)
+
+
 def test_near_texts_recall_and_precision(spark):
     texts, pairs = near_copies()
     assert len(pairs) > 150
@@ -108,7 +114,7 @@ def test_near_texts_recall_and_precision(spark):
     found = sum(got[a] == got[b] for a, b in pairs) / len(pairs)
     assert found >= 0.95, found
     direct = [text_segments(t.encode(), 5) for t in texts]
-    alone = sum(any(direct[a][i] == direct[b][i] and any(direct[a][(i + d) % 16] == direct[b][(i + d) % 16] for d in (1, 2, 3)) for i in range(16)) for a, b in pairs) / len(pairs)
+    alone = sum(near_by_definition(direct[a], direct[b]) for a, b in pairs) / len(pairs)
     assert alone >= 0.9, alone  # of single pairs, without a third text that links them
     assert all(a // 4 == b // 4 for a, b in got.items())  # unlike texts stay apart
 
@@ -118,11 +124,7 @@ def test_near_texts_against_their_definition(spark):
     got = near_text_clusters(spark.createDataFrame([(i, t, "x", "y") for i, t in rows], DOCS), carry=["text"]).collect()
     seg = [text_segments(None if t is None else t.encode(), 5) for _, t in rows]
 
-    def linked(a, b):
-        eq = (a == b) & (a != 0)
-        return (a == b).all() or any(eq[i] and eq[(i + d) % 16] for i in range(16) for d in (1, 2, 3))
-
-    group = classes(range(len(rows)), [(a, b) for a in range(len(rows)) for b in range(a) if linked(seg[a], seg[b])])
+    group = classes(range(len(rows)), [(a, b) for a in range(len(rows)) for b in range(a) if near_by_definition(seg[a], seg[b])])
     least = {}
     for i, (d, _) in enumerate(rows):
         if d is not None:
@@ -132,6 +134,38 @@ def test_near_texts_against_their_definition(spark):
     assert near_text_clusters(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("far_block", [1024, 3])
+def test_a_shared_passage_does_not_link_texts(spark, far_block):
+    from tessera.llm.simhash import _chains, _near_links
+
+    rnd = random.Random(4)
+    passage = [f"common{i}" for i in range(40)]
+    texts = []
+    for i in range(40):
+        own = [f"w{rnd.randrange(10**6)}" for _ in range(60)]
+        texts += [" ".join([*own, *passage]), " ".join([*own[:-1], "changed", *passage])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_text_clusters(docs, far_block=far_block).collect()}
+    assert all(v // 2 == k // 2 for k, v in got.items())
+    assert sum(got[i] == i - 1 for i in range(1, 80, 2)) >= 38
+    # Three groups that share whole segments, so keys with many rows that are far from their hub.
+    rng, rows = np.random.default_rng(6), []
+    shared = rng.integers(1, 2**32, 16, dtype=np.uint32)
+    for _ in range(12):
+        base = rng.integers(1, 2**32, 16, dtype=np.uint32)
+        base[3:6] = shared[3:6]
+        for _ in range(4):
+            one = base.copy()
+            for at in rng.integers(6, 16, 20):
+                one[at] ^= np.uint32(1 << int(rng.integers(0, 32)))
+            rows.append(one)
+    points = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(rows)], "fp long, segments binary")
+    links = [(r.u, r.v) for r in _near_links(points, far_block).collect()]
+    assert classes(range(len(rows)), links) == classes(range(len(rows)), [(a, b) for a in range(len(rows)) for b in range(a) if near_by_definition(rows[a], rows[b])])
+    assert _near_links(points.limit(0), far_block).count() == 0
+    assert points.mapInArrow(_chains, "key long, fp long").groupBy("key").count().agg({"count": "max"}).first()[0] == len(rows)
+
+
 def test_segments_are_the_plain_ones():
     rnd = random.Random(8)
     for n in (0, 1, 4, 5, 6, 30, 900):
