@@ -23,7 +23,9 @@ a chain with the budgets 0, 1, 2 and 2 for its first 1, 2, 3 and 4 segments (flo
 an equal segment with another equal one among the next three, makes two texts candidates. Short texts
 and texts that quote one passage meet so too without being alike, so the whole Hamming distance of
 the 512 bits decides: DISTANCE at most. What meets under a key is tested against one of them, the hub;
-those that are too far from it are tested against each other.
+those that are too far from it are tested against each other, and against those near it whose distance
+from it is less by DISTANCE at most. By the triangle inequality no others can be near them, and the
+rows near a hub need no test against each other, since the hub connects them.
 """
 
 from __future__ import annotations
@@ -355,43 +357,47 @@ def _words(segments: pa.Array) -> np.ndarray:
 
 
 def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, v, near) for pairs and their fingerprints (u, v, a, b): the full Hamming check."""
+    """(u, v, distance) for pairs and their fingerprints (u, v, a, b): the full Hamming check."""
     for b in batches:
-        near = np.bitwise_count(_words(b.column("a")) ^ _words(b.column("b"))).sum(axis=1) <= DISTANCE
-        yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(near)], names=["u", "v", "near"])
+        distance = np.bitwise_count(_words(b.column("a")) ^ _words(b.column("b"))).sum(axis=1, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(distance)], names=["u", "v", "distance"])
 
 
-def _near_within(fp: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what is near in a group, one at most for each row."""
-    label = np.arange(len(fp))
-    for i in range(1, len(fp)):
-        met = np.unique(label[:i][np.bitwise_count(words[:i] ^ words[i]).sum(axis=1) <= DISTANCE])
+def _near_within(fp: np.ndarray, words: np.ndarray, linked: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what is near in a group, one at most for each row; its first rows, ``linked`` of them, are linked already."""
+    label, ends = np.arange(len(fp)), [(np.empty(0, int), np.empty(0, int))]
+    label[:linked] = 0
+    for i in range(max(1, linked), len(fp)):
+        hit = np.flatnonzero(np.bitwise_count(words[:i] ^ words[i]).sum(axis=1) <= DISTANCE)
+        met, first = np.unique(label[hit], return_index=True)
         if len(met):
+            ends.append((np.full(len(met), i), hit[first]))
             label[i] = met[0]
             if len(met) > 1:
                 label[np.isin(label, met)] = met[0]
-    moved = label != np.arange(len(fp))
-    return fp[moved], fp[label[moved]]
+    u, v = (np.concatenate(x) for x in zip(*ends))
+    return fp[u], fp[v]
 
 
 def _far_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, v): the links within each group of rows (grp, fp, segments) that come sorted by it."""
-    group, fp, words = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, SHARES // 2), np.uint64)
+    """(u, v): the links within each group of rows (grp, near, fp, segments) that come sorted by it, those near the group's hub first."""
+    group, near, fp, words = np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64), np.empty((0, SHARES // 2), np.uint64)
 
     def flush(to: int) -> pa.RecordBatch:
         bounds = [0, *(np.flatnonzero(group[1:to] != group[: to - 1]) + 1).tolist(), to]
-        found = [_near_within(fp[a:b], words[a:b]) for a, b in zip(bounds, bounds[1:]) if b - a > 1]
+        found = [_near_within(fp[a:b], words[a:b], int(near[a:b].sum())) for a, b in zip(bounds, bounds[1:]) if b - a > 1]
         ends = [np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in (0, 1)]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in ends], names=["u", "v"])
 
     for b in batches:
         group = np.concatenate((group, b.column(0).to_numpy(zero_copy_only=False)))
-        fp = np.concatenate((fp, b.column(1).to_numpy(zero_copy_only=False)))
-        words = np.concatenate((words, _words(b.column(2))))
+        near = np.concatenate((near, b.column(1).to_numpy(zero_copy_only=False)))
+        fp = np.concatenate((fp, b.column(2).to_numpy(zero_copy_only=False)))
+        words = np.concatenate((words, _words(b.column(3))))
         cut = int(np.searchsorted(group, group[-1])) if len(group) else 0  # the last group may go on in the next batch
         if cut:
             yield flush(cut)
-            group, fp, words = group[cut:], fp[cut:], words[cut:]
+            group, near, fp, words = group[cut:], near[cut:], fp[cut:], words[cut:]
     if len(group):
         yield flush(len(group))
 
@@ -406,18 +412,28 @@ def _near_links(points: DataFrame, far_block: int) -> DataFrame:
     met = written(with_labels(keys, hubs, "key", "n").where("fp != hub"), "met")
     pairs = written(met.select("fp", "hub").distinct().join(segments, "fp").select(F.col("fp").alias("u"), F.col("hub").alias("v"), F.col("segments").alias("a")), "pairs")
     ends = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n")).join(segments.select(F.col("fp").alias("v"), F.col("segments").alias("b")), "v")
-    tested = written(with_labels(pairs, written(ends, "ends"), "v", "n").select("u", "v", "a", "b").mapInArrow(_distances, "u bigint, v bigint, near boolean"), "tested")
-    links, far = tested.where("near").select("u", "v"), tested.where("NOT near").select(F.col("u").alias("fp"), F.col("v").alias("hub"))
-    rest = written(met.join(far, ["fp", "hub"], "left_semi").select("key", "fp"), "far")
-    blocks = F.ceil(F.count(F.lit(1)) / far_block).cast("int")
-    many = written(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), blocks.alias("blocks")).where("n > 1"), "far-keys")
+    tested = written(with_labels(pairs, written(ends, "ends"), "v", "n").select("u", "v", "a", "b").mapInArrow(_distances, "u bigint, v bigint, distance int"), "tested")
+    links = tested.where(F.col("distance") <= DISTANCE).select("u", "v")
+    of_hub = tested.select(F.col("u").alias("fp"), F.col("v").alias("hub"), "distance")
+    far = written(met.join(of_hub.where(F.col("distance") > DISTANCE), ["fp", "hub"]).select("key", "fp", "distance"), "far")
+    far_keys = written(far.groupBy("key").agg(F.count(F.lit(1)).alias("n_far"), F.min("distance").alias("least")), "far-keys")
+    # What is near a hub can only be near a row that is no farther from the hub than that and DISTANCE more.
+    reach = far_keys.where(F.col("least") <= 2 * DISTANCE).join(hubs.select("key", "n"), "key").select("key", "least", "n")
+    close = with_labels(met, written(reach, "reach"), "key", "n").join(of_hub.where(F.col("distance") <= DISTANCE), ["fp", "hub"])
+    close = written(close.where(F.col("distance") + DISTANCE >= F.col("least")).select("key", "fp"), "close")
+    counts = far_keys.join(close.groupBy("key").agg(F.count(F.lit(1)).alias("n_close")), "key", "left").fillna(0, "n_close")
+    blocks = [F.ceil(F.col(n) / far_block).cast("int").alias(b) for n, b in (("n_far", "far_blocks"), ("n_close", "close_blocks"))]
+    many = written(counts.where("n_far + n_close > 1").select("key", (F.col("n_far") + F.col("n_close")).alias("n"), *blocks), "many")
     if many.isEmpty():
         return links
-    # A key of several blocks: every two of them meet in a group, so none has more than two blocks of rows.
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    dealt = with_labels(rest, many, "key", "n").select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "fp").join(segments, "fp").select("grp", "fp", "segments")
-    return links.union(dealt.repartition("grp").sortWithinPartitions("grp").mapInArrow(_far_links, "u bigint, v bigint"))
+    # Every block of far rows meets every other block in a group, so none has more than two blocks of rows.
+    rows = written(far.select("key", "fp", F.lit(False).alias("near")).union(close.select("key", "fp", F.lit(True))), "far-and-close")
+    own = F.when(F.col("near"), F.col("far_blocks") + F.pmod(F.xxhash64("fp"), F.greatest("close_blocks", F.lit(1)))).otherwise(F.pmod(F.xxhash64("fp"), F.col("far_blocks")))
+    last = F.col("far_blocks") - 1 + F.when(F.col("near"), 0).otherwise(F.col("close_blocks"))
+    dealt = with_labels(rows, many, "key", "n").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    dealt = dealt.where("own != other OR far_blocks + close_blocks = 1")
+    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "near", "fp").join(segments, "fp").select("grp", "near", "fp", "segments")
+    return links.union(dealt.repartition("grp").sortWithinPartitions("grp", F.desc("near")).mapInArrow(_far_links, "u bigint, v bigint"))
 
 
 def near_text_clusters(
@@ -432,9 +448,8 @@ def near_text_clusters(
     table gives an empty one. Other columns are not read.
 
     Rows that share a key are tested against one of them, its hub, however many they are: hot keys have theirs by a
-    broadcast. Rows of a key that are too far from its hub are tested against each other, in blocks of about
-    ``far_block``. So under one key a row that is near the hub isn't tested against one that isn't; under
-    another key, with another hub, it may be.
+    broadcast. Rows of a key that are too far from its hub are tested against each other and against those near the
+    hub that may be near them, in blocks of about ``far_block``. So all that share a key and are near are connected.
     """
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()

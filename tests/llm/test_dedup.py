@@ -166,6 +166,26 @@ def test_a_shared_passage_does_not_link_texts(spark, far_block):
     assert points.mapInArrow(_chains, "key long, fp long").groupBy("key").count().agg({"count": "max"}).first()[0] == len(rows)
 
 
+@pytest.mark.parametrize("far_block", [1024, 3])
+def test_rows_near_a_hub_link_to_those_far_from_it(spark, far_block):
+    from tessera.llm.simhash import _chains, _near_links
+
+    # Lines of texts 70 bits apart, all under one key: only the neighbours in a line are near each other.
+    rng, rows = np.random.default_rng(9), []
+    shared = rng.integers(1, 2**32, 2, dtype=np.uint32)
+    for _ in range(8):
+        one = rng.integers(1, 2**32, 16, dtype=np.uint32)
+        one[3:5] = shared
+        for step in range(7):
+            rows.append(one.copy())
+            one[np.r_[0:3, 5:16]] ^= np.uint32(0b11111 << 5 * min(step, 5))
+    points = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(rows)], "fp long, segments binary")
+    assert points.mapInArrow(_chains, "key long, fp long").groupBy("key").count().where("count > 1").count() == 1
+    links = [(r.u, r.v) for r in _near_links(points, far_block).collect()]
+    assert classes(range(len(rows)), links) == {i: i // 7 * 7 for i in range(len(rows))}
+    assert all(near_by_definition(rows[a], rows[b]) for a, b in links)
+
+
 def test_segments_are_the_plain_ones():
     rnd = random.Random(8)
     for n in (0, 1, 4, 5, 6, 30, 900):
