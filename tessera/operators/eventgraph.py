@@ -57,12 +57,13 @@ def field_epochs(requirements: DataFrame, n_fields: int = 64) -> DataFrame:
     """(ctx, tree, node, field, seq, usage, epoch, opens): requirements by field; opens tells who begins an epoch.
 
     A user of another class than the one before it, and every writer, closes the epoch of a field: it dominates all users in it.
+    Of users with one seq writers come first, then reductions, then readers, so that the result doesn't hang on the order of the rows.
     """
     one = requirements.withColumn("field", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_fields - 1)), lambda i: F.getbit("fields", i) == 1)))
     key = ["ctx", "tree", "node", "field"]
     w = Window.partitionBy(*key).orderBy("seq")
     usage = F.when(D.reads_only(F.col("priv")), "read").when(F.col("priv") == D.REDUCE, "reduce").otherwise("write")
-    rows = one.withColumn("usage", usage).withColumn("before", F.lag("usage").over(w))
+    rows = one.withColumn("usage", usage).withColumn("before", F.lag("usage").over(Window.partitionBy(*key).orderBy("seq", F.desc("usage"))))
     rows = rows.withColumn("opens", F.col("before").isNull() | (F.col("before") != F.col("usage")) | (F.col("usage") == "write"))
     return rows.withColumn("epoch", F.sum(F.col("opens").cast("int")).over(w)).select(*key, "seq", "usage", "epoch", "opens")
 

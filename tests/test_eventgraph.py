@@ -49,3 +49,11 @@ def test_registration_errors(spark):
         K.histogram(spark.range(1).toDF("bucket"), 4, "unknown")
     with pytest.raises(ValueError):
         K.reduction_copy(spark.range(1), "fold", spark.range(1), "list")
+
+
+def test_epochs_do_not_hang_on_the_order_of_rows_with_one_seq(spark):
+    rows = [(1, 5, 0, 0, 1, 1), (1, 9, 0, 0, 1, 1), (1, 9, 0, 0, 1, 273), (1, 9, 0, 0, 1, 256)]
+    for given in (rows, rows[::-1], [rows[2], rows[0], rows[3], rows[1]]):
+        df = spark.createDataFrame(given, "ctx long, seq long, tree long, node int, fields long, priv int").coalesce(1)
+        got = sorted((r.seq, r.usage, r.epoch, r.opens) for r in E.field_epochs(df, 4).collect())
+        assert got == [(5, "read", 1, True), (9, "read", 4, True), (9, "reduce", 4, True), (9, "write", 4, True)]
