@@ -36,6 +36,12 @@ def unit_bytes(text: Column) -> Column:
     return n * F.when(unit == "k", 1 << 10).when(unit == "m", 1 << 20).when(unit == "g", 1 << 30).otherwise(1).cast("long")
 
 
+def ieee_divide(a: Column, b: Column) -> Column:
+    """a / b of doubles as IEEE 754 has it: by zero an infinity of the sign of both, or NaN for 0 / 0. Spark's own division raises there."""
+    negative = b.cast("string").startswith("-")  # -0.0 too
+    return F.when(b == 0, a * F.when(negative, float("-inf")).otherwise(float("inf"))).otherwise(F.try_divide(a, b))
+
+
 def dot3(a: list[Column], b: list[Column]) -> Column:
     return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
 

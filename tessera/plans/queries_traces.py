@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions.scalars import pow2_bucket, unit_bytes
+from tessera.functions.scalars import ieee_divide, pow2_bucket, unit_bytes
 from tessera.operators import depend as D
 from tessera.operators import graph, trace
 from tessera.operators.ordered import running_sums
@@ -87,7 +87,7 @@ def timer_rollup(t, spark):
 def speedup(t, spark):
     m = t("events").groupBy("event_type").agg(F.min("value").alias("best"))
     base = m.where("event_type = 'view'").select(F.col("best").alias("b"))
-    return m.crossJoin(F.broadcast(base)).select("event_type", "best", F.round(F.col("best") / F.col("b"), 6).alias("ratio"))
+    return m.crossJoin(F.broadcast(base)).select("event_type", "best", F.round(ieee_divide(F.col("best"), F.col("b")), 6).alias("ratio"))
 
 
 PRIVS, COH = (0x000, 0x001, 0x010, 0x100, 0x111), range(4)
