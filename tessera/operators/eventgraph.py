@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import depend as D
 from tessera.operators.graph import reach
-from tessera.operators.shared import written
+from tessera.operators.shared import dealt, written
 
 #: All bits of a 64-field mask.
 ALL_FIELDS = -1
@@ -88,27 +88,29 @@ def event_edges(log: dict[str, DataFrame]) -> DataFrame:
     def event(i: str, g: str) -> Column:
         return F.format_string("event %d.%d", i, g)
 
-    nodes = event_nodes(log)
-    into = nodes.select(event("start_id", "start_gen").alias("src"), F.col("op").alias("dst"))
-    out = nodes.select("op", event("term_id", "term_gen"))
+    # Each operation is read once for its edge in and its edge out.
+    ends = F.array(F.struct(event("start_id", "start_gen").alias("src"), F.col("op").alias("dst")), F.struct(F.col("op").alias("src"), event("term_id", "term_gen").alias("dst")))
+    through = event_nodes(log).select(F.explode(ends).alias("e")).select("e.src", "e.dst")
     between = log["event_event"].select(event("id1", "gen1"), event("id2", "gen2"))
     points = log["task_events"].where("index_space = 1").select("uid", event("term_id", "term_gen").alias("src"))
     whole = points.join(log["index_term"].select("uid", event("term_id", "term_gen").alias("dst")), "uid").select("src", "dst")
-    return into.union(out).union(between).union(whole).distinct()
+    every = written(through.union(between).union(whole), "event-edges")
+    return dealt(every, every.count(), "src", "dst").distinct()
 
 
 def collapsed(edges: DataFrame) -> DataFrame:
     """(src, dst) between operations: paths whose inner nodes are events only. Runs as many rounds as the longest such path has hops."""
     is_event = F.col("dst").startswith("event ")
-    steps = written(edges.where(F.col("src").startswith("event ")), "event-hops")
-    front, done = written(edges.where(~F.col("src").startswith("event ")), "front"), None
+    edges = written(edges, "edges")
+    steps = edges.where(F.col("src").startswith("event ")).select(F.col("src").alias("at"), "dst")
+    front, done, found, n_steps = edges.where(~F.col("src").startswith("event ")), None, 0, steps.count()
     while True:
-        direct = front.where(~is_event)
-        done = direct if done is None else done.union(direct)
-        hop = front.where(is_event).select("src", F.col("dst").alias("at")).join(steps.select(F.col("src").alias("at"), "dst"), "at").select("src", "dst")
-        front = written(hop.distinct(), "front")
-        if front.isEmpty():
-            return done.distinct()
+        direct, waits = front.where(~is_event), front.where(is_event).select("src", F.col("dst").alias("at"))
+        done, found = direct if done is None else done.union(direct), found + direct.count()
+        if not (n := waits.count()):
+            return dealt(done, found, "src", "dst").distinct()
+        hop = written(dealt(waits, n + n_steps, "at").join(dealt(steps, n + n_steps, "at"), "at").select("src", "dst"), "hop")
+        front = written(dealt(hop, hop.count(), "src", "dst").distinct(), "front")
 
 
 def edge_report(dependences: DataFrame, logged: DataFrame) -> DataFrame:

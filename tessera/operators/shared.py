@@ -44,6 +44,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a task is dealt at most on average where ``dealt`` is used: some 200 MB when they are sorted or hashed.
+TASK_ROWS = 1_000_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt out by keys to as many tasks as ``rows`` asks for, so that a task's memory doesn't grow with the input.
+
+    Tables that meet in a join are dealt by the same ``rows``, the sum of both. Where the session's own number of
+    tasks will do, ``df`` stays as it is: adaptive execution then sees to skewed keys, which it doesn't in dealt tables.
+    """
+    n = -(-rows // TASK_ROWS)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 #: A key with more than this part of all rows is hot; so fewer keys than this can be, 100 bytes each.
 HOT_SHARES = 10_000
 

@@ -49,6 +49,11 @@ class RecordType:
         p = self._parts
         return tuple((n, "string" if k else "long") for n, k in zip(p[1::3], p[2::3], strict=True))
 
+    @property
+    def words(self) -> str:
+        """The words before the first field; they stand in every line of the type."""
+        return self._parts[0]
+
     @property
     def pattern(self) -> str:
         p = self._parts
@@ -117,7 +122,7 @@ def split_log(lines: DataFrame, types: dict[str, RecordType] = RECORDS) -> dict[
     """As ``read_log``, of the column ``line``; null lines are in no table, numbers beyond 64 bits are null."""
     out, known = {}, F.lit(False)
     for r in types.values():
-        is_one = F.col("line").rlike(r.pattern)
+        is_one = F.col("line").contains(r.words) & F.col("line").rlike(r.pattern)  # most lines are of another type: a cheap test first
         out[r.name] = lines.where(is_one).select(*[F.regexp_extract("line", r.pattern, i + 1).try_cast(k).alias(n) for i, (n, k) in enumerate(r.fields)])
         known = known | is_one
     out["other"] = lines.where(~known)
