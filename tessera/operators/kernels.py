@@ -2,34 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import uts_child, uts_has_children
 from tessera.operators.shared import written
 
-#: Half of the 26 neighbours of a cell, so that each pair of cells meets once.
-HALF = [(dx, dy, dz) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1) if (dx, dy, dz) > (0, 0, 0)]
-
-
-def neighbours(points: DataFrame, radius: float) -> DataFrame:
-    """(a, b) for points (id, x, y, z) at most ``radius`` apart, a < b, by cells of that width.
-
-    Each point is filed under its own cell and asked for in half of the cells around it: an
-    equi-join on the cell, with the distance in its condition.
-    """
-    cell = [F.floor(F.col(c) / radius).cast("long") for c in "xyz"]
-    own = points.select("id", "x", "y", "z", *[c.alias(f"c{i}") for i, c in enumerate(cell)])
-    offsets = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"d{i}") for i, v in enumerate(d)]) for d in [(0, 0, 0), *HALF]]))
-    ask = own.withColumn("d", offsets).select(
-        "id", "x", "y", "z", (F.expr("d.d0 = 0 AND d.d1 = 0 AND d.d2 = 0")).alias("same"), *[(F.col(f"c{i}") + F.col(f"d.d{i}")).alias(f"c{i}") for i in range(3)])
-    l, r = own.alias("l"), ask.alias("r")
-    far = reduce(lambda a, b: a + b, [(F.col(f"l.{c}") - F.col(f"r.{c}")) * (F.col(f"l.{c}") - F.col(f"r.{c}")) for c in "xyz"])
-    meet = reduce(lambda a, b: a & b, [F.col(f"l.c{i}") == F.col(f"r.c{i}") for i in range(3)])
-    once = (~F.col("r.same")) | (F.col("l.id") < F.col("r.id"))
-    return l.join(r, meet & once & (far <= radius * radius)).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
+#: A cell and the 26 around it.
+AROUND = [(dx, dy, dz) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1)]
 
 
 def block_multiply(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -143,30 +126,47 @@ def tree_search(roots: DataFrame, width: int, q: float) -> DataFrame:
     return levels
 
 
-def _with_ends(points: DataFrame, pairs: DataFrame, rest: list[str]) -> DataFrame:
-    return pairs.join(points.select(F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in rest]), "a").join(points.select(F.col("id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in rest]), "b")
+#: Points of a cell that a task holds at once, and pairs that a task tests on average.
+CELL_BLOCK, TASK_PAIRS = 1024, 20_000_000
+
+
+def near_sums(points: DataFrame, radius: float, rest: list[str], sums: dict[str, Column]) -> DataFrame:
+    """(id, sums) over the other points at most ``radius`` away, for points that have one.
+
+    The terms are told from o_c and p_c, the columns c (id, x, y, z and ``rest``) of the point itself and of the other one, and d2, their squared
+    distance. No pair is written or shuffled: copies of the points meet in their cells and each task sums what it tests. The work grows
+    with the pairs, as it must; what is moved with the points. A crowded cell is split into blocks, which each visitor meets in turn.
+    """
+    cells, cols = ["c0", "c1", "c2"], ["id", *"xyz", *rest]
+    at = points.select(*cols, *[F.floor(F.col(c) / radius).cast("long").alias(k) for c, k in zip("xyz", cells, strict=True)]).where(" AND ".join(f"{c} IS NOT NULL" for c in "xyz"))
+    at = written(at, "cells")
+    sizes = written(at.groupBy(*cells).agg(F.count(F.lit(1)).alias("n")), "cell-sizes")
+    step = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(cells, d, strict=True)]) for d in AROUND])
+    move = lambda df: df.withColumn("d", F.explode(step)).select(*[c for c in df.columns if c not in cells], *[(F.col(k) + F.col(f"d.{k}")).alias(k) for k in cells])
+    pairs = move(sizes.withColumnRenamed("n", "m")).join(sizes, cells).agg(F.sum(F.col("m").cast("double") * F.col("n"))).first()[0] or 0.0
+    tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs / TASK_PAIRS))
+    blocks = F.ceil(F.col("n") / CELL_BLOCK)
+    own = at.join(sizes, cells).select(*[F.col(c).alias(f"p_{c}") for c in cols], *cells, F.pmod(F.xxhash64("id"), blocks).alias("block"))
+    ask = move(at).join(sizes, cells).select(*[F.col(c).alias(f"o_{c}") for c in cols], *cells, F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
+    key = [*cells, "block"]
+    d2 = reduce(lambda a, b: a + b, [(F.col(f"o_{c}") - F.col(f"p_{c}")) * (F.col(f"o_{c}") - F.col(f"p_{c}")) for c in "xyz"])
+    met = ask.repartition(tasks, *key).join(own.repartition(tasks, *key).hint("merge"), key).where((F.col("o_id") != F.col("p_id")) & (d2 <= radius * radius)).withColumn("d2", d2)
+    return met.groupBy(F.col("o_id").alias("id")).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
 
 
 def sph_density(points: DataFrame, h: float, factor: float) -> DataFrame:
     """(id, rho): factor x (h^6 + the sum of (h^2 - r^2)^3 over the neighbours within h)."""
-    near = _with_ends(points, neighbours(points, h), list("xyz"))
-    d2 = reduce(lambda a, b: a + b, [(F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in "xyz"])
-    part = F.lit(h * h) - d2
-    sums = near.select(F.explode(F.array("a", "b")).alias("id"), (part * part * part).alias("t")).groupBy("id").agg(F.sum("t").alias("t"))
+    part = F.lit(h * h) - F.col("d2")
+    sums = near_sums(points, h, [], {"t": part * part * part})
     return points.select("id").join(sums, "id", "left").select("id", (F.lit(factor) * (F.coalesce("t", F.lit(0.0)) + h**6)).alias("rho"))
 
 
 def sph_advance(points: DataFrame, h: float, factor: float, pressure: float, rest: float, dt: float, gravity: float = 9.8) -> DataFrame:
     """(id, x, y, z) after a step from rest: pressure pushes the two of each pair apart, gravity pulls along z."""
     dense = points.join(sph_density(points, h, factor), "id")
-    near = _with_ends(dense, neighbours(points, h), ["x", "y", "z", "rho"])
-    d2 = reduce(lambda a, b: a + b, [(F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in "xyz"])
-    far = F.greatest(F.sqrt(d2), F.lit(1e-12))
-    k = pressure * (h - far) * (h - far) / far * (F.col("a_rho") + F.col("b_rho") - 2 * rest) / (F.col("a_rho") * F.col("b_rho"))
-    push = [k * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in "xyz"]
-    both = near.select(F.explode(F.array(
-        F.struct(F.col("a").alias("id"), *[p.alias(f"f{c}") for c, p in zip("xyz", push, strict=True)]), F.struct(F.col("b").alias("id"), *[(-p).alias(f"f{c}") for c, p in zip("xyz", push, strict=True)]))).alias("f")).select("f.*")
-    force = both.groupBy("id").agg(*[F.sum(f"f{c}").alias(f"f{c}") for c in "xyz"])
+    far = F.greatest(F.sqrt("d2"), F.lit(1e-12))
+    k = pressure * (h - far) * (h - far) / far * (F.col("o_rho") + F.col("p_rho") - 2 * rest) / (F.col("o_rho") * F.col("p_rho"))
+    force = near_sums(dense, h, ["rho"], {f"f{c}": k * (F.col(f"o_{c}") - F.col(f"p_{c}")) for c in "xyz"})
     moved = lambda c: F.col(c) + dt * dt * (F.coalesce(F.col(f"f{c}"), F.lit(0.0)) - (gravity if c == "z" else 0.0))
     return points.join(force, "id", "left").select("id", *[moved(c).alias(c) for c in "xyz"])
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
-from tessera.operators.kernels import block_multiply, lu, lu_product, neighbours, tree_levels
+from tessera.operators.kernels import block_multiply, lu, lu_product, near_sums, tree_levels
 from tessera.registry import query
 
 
@@ -57,8 +57,7 @@ def points(t):
 
 @query(f"""SELECT id, CAST(count(*) AS BIGINT) AS n FROM (SELECT a.id AS a, b.id AS b FROM {POINTS} a JOIN {POINTS} b ON a.id < b.id AND (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 0.0025) p, LATERAL (SELECT unnest([a, b]) AS id) GROUP BY 1""")
 def neighbor_density(t, spark):
-    pairs = neighbours(points(t), 0.05)
-    return pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return near_sums(points(t), 0.05, [], {"n": F.lit(1)})
 
 
 @query(f"SELECT CAST(floor(x / 0.05) AS BIGINT) AS cx, CAST(floor(y / 0.05) AS BIGINT) AS cy, count(*) AS n FROM {POINTS} GROUP BY 1, 2")
